@@ -159,6 +159,9 @@ class PassageIndex:
             da, pa = da - 1, pa - 1
         while db + 1 < len(words) and pb + 1 < len(pw) and words[db + 1] == pw[pb + 1]:
             db, pb = db + 1, pb + 1
+        inner = sum(1 for (i, j), (x, y) in zip(exact, exact[1:]) if words[at[i] + 1 : at[x]] != pw[pat[j] + 1 : pat[y]])
+        if pb - pa + 1 < self.least + 2 and slips + inner > 1:  # barely long enough: a single slip at most
+            return None
         return pb - pa + 1, da, db
 
 

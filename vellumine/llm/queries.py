@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellumine.llm.encoding import garbled_ids, repair_encoding
+from vellumine.llm.leakage import find_leaks
 from vellumine.llm.sentences import sentence_units
 from vellumine.runtime import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_ids(table(spark, sf_dir, "chunks")).toDF("chunk_id")
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_encoding(table(spark, sf_dir, "chunks"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")).select("doc_id", "item_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -19,7 +33,13 @@ def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_found": p8_found, "p8_units": p8_units}
+    return {
+        "p4_found": p4_found,
+        "p4_repaired": p4_repaired,
+        "p6_found": p6_found,
+        "p8_found": p8_found,
+        "p8_units": p8_units,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
