@@ -8,10 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vellumine.llm.encoding import garbled_ids, repair_encoding
 from vellumine.llm.leakage import find_leaks
+from vellumine.llm.markup import clean_markup, markup_found
+from vellumine.llm.neighbours import similar_pairs, similar_vectors
 from vellumine.llm.sentences import sentence_units
 from vellumine.runtime import table
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf_dir, "vectors"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "generations")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar_vectors(*_vectors(spark, sf_dir), k=5, max_distance=0.12)
+    return similar_pairs(near.where("distance <= 0.12"))
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(*_vectors(spark, sf_dir), k=5, nprobe=64, cell_rows=2048)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup_found(table(spark, sf_dir, "chunks")).withColumnRenamed("id", "chunk_id")
+
+
+def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_markup(table(spark, sf_dir, "chunks"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_ids(table(spark, sf_dir, "chunks")).toDF("chunk_id")
 
@@ -34,6 +57,10 @@ def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_neighbours": p1_neighbours,
+        "p2_found": p2_found,
+        "p2_cleaned": p2_cleaned,
         "p4_found": p4_found,
         "p4_repaired": p4_repaired,
         "p6_found": p6_found,
