@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellumine.llm.encoding import garbled_ids, repair_encoding
 from vellumine.llm.leakage import find_leaks
 from vellumine.llm.markup import clean_markup, markup_found
+from vellumine.llm.mixing import mix
 from vellumine.llm.neighbours import similar_pairs, similar_vectors
+from vellumine.llm.pieces import split_oversized
 from vellumine.llm.sentences import sentence_units
 from vellumine.runtime import table
 
@@ -43,10 +46,26 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_encoding(table(spark, sf_dir, "chunks"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "chunks")).select(F.col("id").alias("chunk_id")).distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")).select("doc_id", "item_id")
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -63,7 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_cleaned": p2_cleaned,
         "p4_found": p4_found,
         "p4_repaired": p4_repaired,
+        "p5_found": p5_found,
+        "p5_pieces": p5_pieces,
         "p6_found": p6_found,
+        "p7_mixture": p7_mixture,
+        "p7_shares": p7_shares,
         "p8_found": p8_found,
         "p8_units": p8_units,
     }
