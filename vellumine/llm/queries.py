@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_vectors(*_vectors(spark, sf_dir), k=5, nprobe=64, cell_rows=2048)
+    return similar_vectors(*_vectors(spark, sf_dir), k=5, nprobe=48, rerank=192, books=8, cell_rows=2048)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,16 @@ def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
+P1_SQL = """WITH g AS (SELECT generation, dims FROM generations ORDER BY generation DESC LIMIT 1),
+live AS (SELECT chunk_id AS id, min(embedding::DOUBLE[]) AS e FROM vectors v, g WHERE v.generation = g.generation AND len(v.embedding) = g.dims
+  AND chunk_id IN (SELECT id FROM chunks) AND NOT list_bool_or(list_transform(v.embedding, lambda x: isnan(x))) AND list_bool_or(list_transform(v.embedding, lambda x: x <> 0)) GROUP BY chunk_id),
+near AS (SELECT a.id AS a, b.id AS b, list_cosine_distance(a.e, b.e) AS d FROM live a, live b WHERE a.id <> b.id),
+five AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS r FROM near WHERE d <= 0.12)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM five WHERE r <= 5"""
+
+P5_SQL = "SELECT id AS chunk_id FROM chunks WHERE strlen(coalesce(text, '')) + strlen(coalesce(heading_path, '')) > 4096"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -93,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_SQL, "p5_found": P5_SQL}
