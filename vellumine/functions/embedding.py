@@ -59,7 +59,8 @@ def resolve_spec(model: str, query: str = "", passage: str = "", ceiling: int =
 
 
 def compose_query(query: Column, template: str) -> Column:
-    return query if not template else _fill(template, {"{q}": query})
+    """The query as embedded: the template with every ``{q}`` filled, or the query itself."""
+    return _fill(template, {"{q}": query}) if template else query
 
 
 def _fill(template: str, values: dict[str, Column]) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.plans import incremental
+from vellumine.plans import catalog, evaluation, incremental, retrieval
 
-_PARTS = (incremental,)
+_PARTS = (retrieval, catalog, evaluation, incremental)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,8 +15,22 @@ SUMMARY_LEVELS = (4, 16, 64)
 SCHEMA_VERSION = 1
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "long": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "array<string>": T.ArrayType(T.StringType()),
+    "array<float>": T.ArrayType(T.FloatType()),
+    "map<string_string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """From ``name type`` pairs; needs no session."""
+    pairs = (c.split() for c in columns.replace("map<string,string>", "map<string_string>").split(", "))
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in pairs])
 
 
 CONTENT = _schema("content_hash string, state string, stage_versions map<string,string>, attempts int, next_retry_at long, last_error string, created_at long, updated_at long")

@@ -72,9 +72,8 @@ class VersionedTable:
         return self._schema
 
     def _rows(self, files: list[str]) -> DataFrame:
-        meta = "_file string, _pos long"
         if not files:
-            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, *T._parse_datatype_string(meta).fields]))
+            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField("_file", T.StringType()), T.StructField("_pos", T.LongType())]))
         df = self.spark.read.schema(self.schema).parquet(*files)
         return df.select("*", F.regexp_replace(F.col("_metadata.file_path"), "^.*/(data/)", "$1").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
 

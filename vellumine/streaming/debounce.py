@@ -26,11 +26,11 @@ def fold(times: list[int], width: int) -> list[tuple[int, int, int]]:
     return [tuple(w) for w in out]  # type: ignore[misc]
 
 
-def debounce_batch(events: DataFrame, key: str, ts_us: str, width_us: int, slots: int = 1) -> DataFrame:
+def debounce_batch(events: DataFrame, key: str, ts_us: str, width_us: int) -> DataFrame:
     """``(key, window_start, last_event, n_events)`` of a bounded table of events, times in microseconds.
 
     Events are first cut at gaps of at least a window, where a new window always begins; so a key's history is
-    folded in many small groups instead of one. Null keys or times are left out.
+    folded in many small runs instead of one. Null keys or times are left out.
     """
     kind = dict(events.dtypes)[key]
     e = events.where(F.col(key).isNotNull() & F.col(ts_us).isNotNull()).select(F.col(key).alias("k"), F.col(ts_us).cast("long").alias("t"))
@@ -40,17 +40,26 @@ def debounce_batch(events: DataFrame, key: str, ts_us: str, width_us: int, slots
     e = e.withColumn("gap", (F.col("t") - F.lag("t").over(w) >= width_us).cast("int"))
     e = e.withColumn("burst", F.coalesce(F.sum("gap").over(w), F.lit(0)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        rows: list[list[int]] = []
-        for t, c in zip(pdf["t"].tolist(), pdf["c"].tolist()):
-            if rows and t < rows[-1][0] + width_us:
-                rows[-1][1], rows[-1][2] = t, rows[-1][2] + c
-            else:
-                rows.append([t, t, c])
-        return pd.DataFrame(rows, columns=["window_start", "last_event", "n_events"]).assign(**{key: pdf["k"].iloc[0]})[[key, "window_start", "last_event", "n_events"]]
+    names = [key, "window_start", "last_event", "n_events"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: list | None = None  # the open window: key, burst, start, last, count
+        for b in batches:
+            rows = []
+            for k, burst, t, c in zip(b["k"].tolist(), b["burst"].tolist(), b["t"].tolist(), b["c"].tolist()):
+                if now is not None and now[0] == k and now[1] == burst and t < now[2] + width_us:
+                    now[3], now[4] = t, now[4] + c
+                    continue
+                if now is not None:
+                    rows.append((now[0], *now[2:]))
+                now = [k, burst, t, t, c]
+            yield pd.DataFrame(rows, columns=names)
+        if now is not None:
+            yield pd.DataFrame([(now[0], *now[2:])], columns=names)
 
-    return e.groupBy("k", "burst").applyInPandas(run, f"`{key}` {kind}, window_start long, last_event long, n_events long")
+    # Bursts, not keys, are spread over the tasks, and each task reads its sorted rows as a stream.
+    spread = e.repartition("k", "burst").sortWithinPartitions("k", "burst", "t").select("k", "burst", "t", "c")
+    return spread.mapInPandas(run, f"`{key}` {kind}, window_start long, last_event long, n_events long")
 
 
 class Debouncer(StatefulProcessor):
