@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.runtime import spread
+
 # Small words, which may be exchanged without making another text.
 SMALL = frozenset(
     "a about above across after against all along also although am among an and any are around as at be because been before behind "
@@ -200,7 +202,7 @@ def find_leaks(
                 hits = [(i, *h) for i, t in zip(b["_id"], b["_t"]) for h in own.scan(t)]
                 yield pd.DataFrame(hits, columns=[id_col, item_col, "start_char", "end_char", "words"])
 
-        return docs.mapInPandas(scan, schema)
+        return spread(docs).mapInPandas(scan, schema)
 
     block: list[tuple[int, str]] = []
     size = 0

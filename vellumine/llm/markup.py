@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.runtime import spread
+
 DIALECTS = ("html", "latex", "markdown", "wiki")
 
 # The elements of HTML, old ones included.
@@ -412,7 +414,7 @@ def clean_markup(texts: DataFrame, id_col: str = "id", text_col: str = "text", h
     t, h = F.col(text_col), F.col(heading_col)
     maybe = F.coalesce(t.rlike(MAYBE), F.lit(False)) | F.coalesce(h.rlike(MAYBE), F.lit(False))
     some = texts.select(F.col(id_col).alias("i"), t.alias("t"), h.alias("h"), maybe.alias("m"))
-    done = some.where("m").drop("m").mapInPandas(run, f"`{id_col}` {kind}, text string, heading_path string, dialects array<string>")
+    done = spread(some.where("m").drop("m")).mapInPandas(run, f"`{id_col}` {kind}, text string, heading_path string, dialects array<string>")
     rest = some.where("not m").select(F.col("i").alias(id_col), F.col("t").alias("text"), F.col("h").alias("heading_path"), F.array().cast("array<string>").alias("dialects"))
     return done.unionByName(rest)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellumine.runtime import cut
+from vellumine.runtime import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 GOLDEN = 0.6180339887498949
@@ -48,7 +48,7 @@ def count_tokens(docs: DataFrame, keep: list[str], text_col: str, tokenizer: str
 
     own = docs.select(*keep, F.col(text_col).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != "_text")
-    return own.mapInPandas(count, f"{fields}, n_tokens long")
+    return spread(own).mapInPandas(count, f"{fields}, n_tokens long")
 
 
 def running_sum(df: DataFrame, by: str, order: Column, bucket: Column, value: str, out: str) -> DataFrame:
