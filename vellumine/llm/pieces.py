@@ -146,7 +146,7 @@ def _emit(ranges: DataFrame, limit: int, overlap: int, step: int, halo: int, id_
     def toggles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n = [sum(1 for m in _FENCE.finditer(raw) if r <= m.start() + low < r + step) for raw, r, low in zip(b["raw"], b["r"], b["low"])]
-            yield pd.DataFrame({"i": b["i"], "n": b["n"], "r": b["r"], "f": np.asarray(n, np.int32)})
+            yield pd.DataFrame({"n": b["n"], "r": b["r"], "f": np.asarray(n, np.int32)})
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -159,12 +159,12 @@ def _emit(ranges: DataFrame, limit: int, overlap: int, step: int, halo: int, id_
                     rows.append((i, n, r, j, raw[a - low : z - low].decode("utf-8", "replace"), path, base + a, base + z))
             yield pd.DataFrame(rows, columns=["i", "n", "r", "j", "text", "heading_path", "byte_start", "byte_end"])
 
-    key = ["i", "n", "r"]
-    fence = ranges.select(*key, "low", "raw").mapInPandas(toggles, f"i {id_type}, n long, r long, f int").distinct()
+    key = ["n", "r"]
+    fence = ranges.select(*key, "low", "raw").mapInPandas(toggles, "n string, r long, f int").distinct()
     # One row for each range: the fence lines before it, by a running sum.
-    before = F.coalesce(F.sum("f").over(Window.partitionBy("i", "n").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("f").over(Window.partitionBy("n").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fences = fence.select(*key, before.alias("fences"))
-    return ranges.join(fences, key).mapInPandas(emit, f"i {id_type}, n long, r long, j int, text string, heading_path string, byte_start long, byte_end long")
+    return ranges.join(fences, key).mapInPandas(emit, f"i {id_type}, n string, r long, j int, text string, heading_path string, byte_start long, byte_end long")
 
 
 def split_oversized(
@@ -193,8 +193,8 @@ def split_oversized(
     size = F.octet_length(text).cast("long")
     base = F.coalesce(F.col(start_col), F.lit(0)).cast("long") if start_col else F.lit(0).cast("long")
     big = items.where(size + F.octet_length(heading) > limit)
-    # n tells rows apart that bear the same id
-    big = big.select(F.col(id_col).alias("i"), F.xxhash64(text, heading, base).alias("n"), text.cast("binary").alias("b"), heading.alias("heading"), base.alias("base"), size.alias("size"))
+    # n tells rows apart that bear the same id, and is never null
+    big = big.select(F.col(id_col).alias("i"), F.concat_ws(":", F.hex(F.xxhash64(text, heading, base)), F.col(id_col).cast("string")).alias("n"), text.cast("binary").alias("b"), heading.alias("heading"), base.alias("base"), size.alias("size"))
     ranges = big.select("i", "n", "b", "heading", "base", "size", _ranges(F.col("size"), step).alias("r"))
     low = F.greatest(F.col("r") - halo, F.lit(0))
     slice_ = F.substring(F.col("b"), (low + 1).cast("int"), (F.col("r") + step + halo - low).cast("int"))
@@ -204,10 +204,10 @@ def split_oversized(
 
 def _numbered(pieces: DataFrame, bare: DataFrame | None, id_col: str, limit: int) -> DataFrame:
     pieces = cut(pieces)
-    counts = pieces.groupBy("i", "n", "r").agg(F.countDistinct("j").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy("i", "n").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = counts.select("i", "n", "r", before.alias("first"))
-    out = pieces.join(first, ["i", "n", "r"]).select(F.col("i").alias(id_col), (F.col("first") + F.col("j")).cast("int").alias("piece"), "text", "heading_path", "byte_start", "byte_end")
+    counts = pieces.groupBy("n", "r").agg(F.countDistinct("j").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("n").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("n", "r", before.alias("first"))
+    out = pieces.join(first, ["n", "r"]).select(F.col("i").alias(id_col), (F.col("first") + F.col("j")).cast("int").alias("piece"), "text", "heading_path", "byte_start", "byte_end")
     if bare is None:
         return out
     short = F.udf(lambda h: shorten_heading(h, limit // 2), "string")
@@ -217,7 +217,7 @@ def _numbered(pieces: DataFrame, bare: DataFrame | None, id_col: str, limit: int
 def split_files(spark: SparkSession, files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, step: int = RANGE) -> DataFrame:
     """The same for UTF-8 files ``(path, size)`` in a folder that all workers see: each range is read by offset, no file as a whole."""
     halo = limit + 1024
-    ranges = files.where(F.col("size") > limit).select(F.col("path").alias("i"), F.lit(0).cast("long").alias("n"), F.col("size").cast("long").alias("size"), _ranges(F.col("size"), step).alias("r"))
+    ranges = files.where(F.col("size") > limit).select(F.col("path").alias("i"), F.col("path").alias("n"), F.col("size").cast("long").alias("size"), _ranges(F.col("size"), step).alias("r"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -230,5 +230,5 @@ def split_files(spark: SparkSession, files: DataFrame, limit: int = LIMIT, overl
                 lows.append(low)
             yield b.assign(base=np.int64(0), heading="", low=lows, raw=raws)
 
-    ranges = ranges.repartition(F.col("i"), F.col("r")).mapInPandas(read, "i string, n long, size long, r long, base long, heading string, low long, raw binary")
+    ranges = ranges.repartition(F.col("i"), F.col("r")).mapInPandas(read, "i string, n string, size long, r long, base long, heading string, low long, raw binary")
     return _numbered(_emit(ranges, limit, overlap, step, halo, "string"), None, "path", limit)
