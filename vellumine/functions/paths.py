@@ -16,7 +16,7 @@ TEXT_SUFFIXES = (".md", ".markdown", ".txt")
 def within(path: Column, root: Column | str) -> Column:
     """Equal to ``root`` or beneath it; ``/`` holds everything, ``/foo`` does not hold ``/foobar``."""
     r = F.lit(root) if isinstance(root, str) else root
-    return (path == r) | (r == "/") | path.startswith(F.concat(r, F.lit("/")))
+    return (path == r) | ((r == "/") & path.isNotNull()) | path.startswith(F.concat(r, F.lit("/")))
 
 
 def within_any(path: Column, roots: list[str]) -> Column:

@@ -156,7 +156,8 @@ FROM (SELECT *, {_SLICES} FROM sa WHERE n_relevant > 0 AND NOT list_contains(tag
     + _scores(13, "b")
     + f""", d AS (SELECT sa.id, sa.tags, sb.rr - sa.rr AS delta FROM sa JOIN sb ON sb.id = sa.id WHERE sa.n_relevant > 0)
 SELECT slice, count(*) AS n, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties, round(avg(delta), 6) AS mean,
-round(avg(delta) / (stddev_samp(delta) / sqrt(count(*))), 6) AS t FROM (SELECT *, {_SLICES} FROM d) GROUP BY slice""",
+CASE WHEN count(*) = 1 OR (min(delta) = max(delta) AND avg(delta) = 0) THEN 0.0::DOUBLE WHEN min(delta) = max(delta) THEN sign(avg(delta)) * 'inf'::DOUBLE
+ELSE round(avg(delta) / (stddev_samp(delta) / sqrt(count(*))), 6) END AS t FROM (SELECT *, {_SLICES} FROM d) GROUP BY slice""",
     "latency_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
     "sample_round_robin": """SELECT category, file, turn FROM (SELECT lower(trim(source)) AS category, path AS file, row_number() OVER (PARTITION BY lower(trim(source)) ORDER BY path) AS turn
 FROM documents WHERE source IS NOT NULL) ORDER BY turn, category, file LIMIT 100""",
