@@ -105,3 +105,26 @@ def throughput(runs: DataFrame) -> DataFrame:
 def index_failures(outcomes: DataFrame) -> DataFrame:
     """Outcomes that make an evaluation run invalid."""
     return outcomes.where(F.col("outcome").isin("failed", "skipped"))
+
+
+def run_queries(golden: DataFrame, chunks: DataFrame, vectors: DataFrame, files: DataFrame, embedder, query_template: str = "", limit: int = 10) -> DataFrame:
+    """``(id, path, distance)``: the places of the nearest contents of every golden query, in one plan for all of them.
+
+    ``chunks(chunk_id, content_hash)`` and ``vectors(chunk_id, embedding)`` of one generation. Each query keeps
+    8 * limit chunks, folded to their contents and named by primary path; a content at several paths is an error
+    in an evaluation corpus and is refused.
+    """
+    from vellumine.functions.embedding import compose_query, embed_passages
+    from vellumine.operators.catalog import primary_path
+    from vellumine.operators.search import collapse_best, knn_batch, knn_k
+
+    twice = files.where("content_hash is not null").groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        raise ValueError("the corpus holds copies of one content")
+    k = knn_k(limit)
+    live = chunks.join(files.where("content_hash is not null").select("content_hash"), "content_hash", "left_semi").select("chunk_id", "content_hash")
+    asked = golden.select("id", compose_query(F.col("query"), query_template).alias("q"))
+    near = knn_batch(vectors.join(live.select("chunk_id"), "chunk_id", "left_semi"), embed_passages(asked, embedder, "q", ["id"]), k, query_col="id")
+    best = collapse_best(near.join(live, "chunk_id"), k, ["id"])
+    names = files.where("content_hash is not null").groupBy("content_hash").agg(primary_path().alias("path"))
+    return best.join(names, "content_hash").select("id", "path", "distance")

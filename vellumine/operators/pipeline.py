@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,10 @@ from vellumine.sources.versions import VersionedTable
 METRIC = "cosine"
 
 
+class CorruptMemory(ValueError):
+    """A remembered value that cannot be read, which is not the same as none."""
+
+
 @dataclass
 class Store:
     """A catalog: versioned tables under one folder, one writer."""
@@ -31,6 +36,27 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.tables[name].read()
 
+    def get_meta(self, key: str, default: str | None = None) -> str | None:
+        """A value stored with the files' last commit; absent is not the same as empty."""
+        t = self.tables["files"]
+        return t.manifest(t.latest())["properties"].get(key, default)
+
+    def set_meta(self, **values: str) -> None:
+        self.tables["files"].commit(properties=values)
+
+    def known_mounts(self) -> list[str] | None:
+        """The volumes remembered; None if none were ever recorded. A record that cannot be read is an error of its own."""
+        text = self.get_meta("known_mounts")
+        if text is None:
+            return None
+        try:
+            out = json.loads(text)
+        except ValueError as e:
+            raise CorruptMemory("known_mounts") from e
+        if not isinstance(out, list) or not all(isinstance(x, str) for x in out):
+            raise CorruptMemory("known_mounts")
+        return out
+
     def replace(self, name: str, rows: DataFrame) -> int:
         """The table's next snapshot: rows that changed are added and their old ones deleted; equal rows are not written again."""
         t = self.tables[name]

@@ -52,3 +52,16 @@ def snapshot(files: DataFrame, content: DataFrame, now: int) -> dict:
     depth = queue_depth(content, now).first()
     failures = [r.asDict() for r in failure_groups(content, files).collect()] if counts["state"].get("failed") else []
     return {"files": counts["files"]["all"], "states": counts["state"], "unread": counts["unread"], "queue": depth.asDict(), "failures": failures}
+
+
+def readiness(generations: DataFrame, spec) -> dict:
+    """Whether searches can be answered: a generation exists, an embedder is configured, and both mean the same vectors."""
+    from vellumine.functions.embedding import EmbeddingSpec
+
+    g = generations.orderBy(F.desc("generation")).first()
+    if g is None:
+        return {"ready": False, "reason": "no generation"}
+    if spec is None:
+        return {"ready": False, "reason": "no embedder"}
+    differs = spec.compatible(EmbeddingSpec(g["model"], g["query_template"] or "", g["passage_template"] or ""))
+    return {"ready": differs is None, "reason": f"{differs} differs" if differs else None, "generation": g["generation"], "dims": g["dims"]}
