@@ -57,7 +57,7 @@ def reset_stale_nullsafe(spark, sf_dir) -> DataFrame:
 
 def stage_versions_merged(spark, sf_dir) -> DataFrame:
     files, content = _t(spark, sf_dir)
-    c = catalog.set_state(content, files.where("size % 2 = 0").select("content_hash"), "chunked", NOW, {"chunker": "4"})
+    c = catalog.set_state(content, files.where("path like '%.md'").select("content_hash"), "chunked", NOW, {"chunker": "4"})
     return c.select("content_hash", "state", F.col("stage_versions")["chunker"].alias("chunker"), F.col("stage_versions")["embedding"].alias("embedding"), "updated_at")
 
 
@@ -215,7 +215,7 @@ u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE content_hash NOT IN (SELEC
 SELECT content_hash, slice::BIGINT AS slice, row_number() OVER (PARTITION BY slice ORDER BY CASE slice WHEN 0 THEN -updated_at ELSE updated_at END, CASE slice WHEN 1 THEN content_hash END, content_hash DESC) AS rank FROM u""",
     "reset_stale_nullsafe": f"""SELECT content_hash, CASE WHEN {_STALE} THEN 'discovered' ELSE state END AS state, CASE WHEN {_STALE} THEN 0 ELSE attempts END AS attempts,
 CASE WHEN NOT ({_STALE}) THEN next_retry_at END AS next_retry_at, CASE WHEN NOT ({_STALE}) THEN last_error END AS last_error, updated_at FROM content_queue""",
-    "stage_versions_merged": f"""WITH h AS (SELECT DISTINCT content_hash FROM catalog_files WHERE size % 2 = 0 AND content_hash IS NOT NULL)
+    "stage_versions_merged": f"""WITH h AS (SELECT DISTINCT content_hash FROM catalog_files WHERE path LIKE '%.md' AND content_hash IS NOT NULL)
 SELECT q.content_hash, CASE WHEN h.content_hash IS NULL THEN state ELSE 'chunked' END AS state, CASE WHEN h.content_hash IS NULL THEN stage_versions['chunker'] ELSE '4' END AS chunker,
 stage_versions['embedding'] AS embedding, CASE WHEN h.content_hash IS NULL THEN updated_at ELSE {NOW} END AS updated_at FROM content_queue q LEFT JOIN h ON h.content_hash = q.content_hash""",
     "orphan_sweep_queue": f"SELECT content_hash, state FROM content_queue q WHERE NOT {_USED} AND state NOT IN ('indexed', 'failed')",

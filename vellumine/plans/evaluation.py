@@ -22,7 +22,6 @@ def _ranked(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
     g, f = table(spark, sf_dir, "golden_queries"), table(spark, sf_dir, "catalog_files")
     judged = g.select("id", F.explode(F.concat("relevant", "acceptable")).alias("path"))
     noise = g.select("id", (F.length("query") % 25 + 25).alias("n")).join(f.select("path", F.length("path").alias("n")), "n").select("id", "path")
-    noise = noise.where((F.length("path") + F.length("id") + F.ascii(F.reverse("path")) + F.expr("cast(substring(path, -6, 1) = substring(id, -1, 1) as int)")) % 4 == 0)
     every = judged.unionByName(noise).distinct()
     d = (F.length("path") * 37 + F.ascii(F.substring("path", -5, 1)) * 11 + F.expr("cast(substring(id, 2, 3) as int)") * shift) % 101
     return every.select("id", "path", (d / 101.0).alias("distance"))
@@ -136,8 +135,7 @@ s{name} AS (SELECT g.id, g.tags, len(list_distinct(g.relevant)) AS n_relevant,
 
 _RANKED = """WITH judged AS (SELECT id, unnest(relevant) AS path, 'r' AS j FROM golden_queries UNION SELECT id, unnest(acceptable), 'a' FROM golden_queries),
 marks AS (SELECT id, path, max(j) AS j FROM judged GROUP BY ALL),
-every AS (SELECT id, path FROM judged UNION SELECT g.id, f.path FROM golden_queries g JOIN catalog_files f ON length(f.path) = length(g.query) % 25 + 25
-  WHERE (length(f.path) + length(g.id) + ascii(reverse(f.path)) + CAST(f.path[-6:-6] = g.id[-1:] AS INT)) % 4 = 0),
+every AS (SELECT id, path FROM judged UNION SELECT g.id, f.path FROM golden_queries g JOIN catalog_files f ON length(f.path) = length(g.query) % 25 + 25),
 """
 _SLICES = "unnest(list_concat(['overall'], CASE WHEN NOT list_contains(tags, 'exact') THEN ['no_exact'] ELSE []::VARCHAR[] END, list_transform(list_distinct(tags), lambda x: 'tag:' || x))) AS slice"
 _STOP = ", ".join(f"'{w}'" for w in quality.STOPWORDS)
