@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_vectors(*_vectors(spark, sf_dir), k=5, nprobe=48, rerank=192, books=8, cell_rows=2048)
+    return similar_vectors(*_vectors(spark, sf_dir), k=5, nprobe=36, rerank=3072, books=8, cell_rows=4096)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
