@@ -1,6 +1,6 @@
 import pytest
 
-from vellumine.llm.markup import _max_flow, clean, clean_markup, markup_found
+from vellumine.llm.markup import _marks, _max_flow, clean, clean_markup, markup_found
 
 FOUND = {
     "<TD>debit</TD>": ["html"], "caf&eacute; &#163;38 it&#x27;s": ["html"], "text <!-- open": ["html"], "pump</td>\n</tr>": ["html"], "<font\n color=red>x</font>": ["html"],
@@ -62,3 +62,17 @@ def test_table(spark):
     got = sorted((r["id"] or 0, r["dialect"]) for r in markup_found(d).collect())
     assert got == [(0, "wiki"), (1, "html"), (1, "markdown"), (4, "html"), (5, "html"), (5, "html")]
     assert clean_markup(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ['They logged {"pump": {"state": "off"}} at noon.', "Then size = grid[cols[i]] was read.", "if (closed || full) return", "build || echo failed"])
+def test_context_overrules_the_regex(text):
+    assert _marks(text) and clean(text) == (text, [])
+
+
+def test_context_speaks_for_a_doubtful_mark():
+    assert clean("| Key || Wall\n|-\n| 7 || 9")[1] == ["wiki"]
+    assert clean("See [1] and the wall]] after it.")[1] == ["wiki"]
+
+
+def test_sure_and_overruled_marks_in_one_text():
+    assert clean('<b>Log</b>: {"pump": {"state": "off"}}') == ('Log: {"pump": {"state": "off"}}', ["html"])

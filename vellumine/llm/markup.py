@@ -15,9 +15,11 @@ import re
 import unicodedata
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 from html.entities import html5
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ class Mark(NamedTuple):
     end: int
     dialect: str
     kind: str
-    weight: float  # log-odds of markup against content
+    weight: float  # how sure its shape alone is, a feature of the classifier
     new: str  # what takes its place in the clean text
     pair: int  # marks of one pair bear one number; 0: none
 
@@ -289,9 +291,77 @@ def _marks(text: str) -> list[Mark]:
     return out
 
 
+# The labelled sample that the context's log-odds are fitted on; the label holds for every mark in the text.
+_SAMPLE_MARKUP = (
+    "<p>The pump</p> was <b>late</b>.", "a <br> b", "x</td></tr> left over", "Tea &amp; milk, 5 &lt; 6", "the <i>old</i> (new) one = fine", "see <a href=x>here</a>", "caf&eacute", "cut off <span",
+    "**Due** on Monday", "It was *never* paid", "the _red_ key", "[form](https://x.example/a) sent", "~~gone~~ and __kept__", "(*maybe*) later", "*a* = 1; *b* = 2",
+    "[[Key|the key]] of [[Hall]]", "'''Bold''' and ''slanted'' words", "{{cite|a=b|c=d}}", "lost its head]] and went on [sic]", "tail of a template}} and {more} words", "| year = 1950\n}}\nIt was built", "{| class=wikitable\n|-\n| oak || elm\n| ash || fir\n|}",
+    "| oak || elm || ash", "| 12 || 15", "! Year || Cost\n|-\n| 1 || 2", "see the hall]] (now closed) in [[Eskton]]", "|name=x|size=9}} was cited",
+    "\\textbf{Next} to \\emph{it}", "so $x^2 = 4$ holds", "a rate \\alpha of growth", "\\begin{itemize}\n\\item one\n\\end{itemize}", "50\\% off, \\$5", "\\noindent The key", "with \\lambda = 3 and \\mu = 4",
+)
+_SAMPLE_CONTENT = (
+    'the answer was {"a": {"b": 1}}', 'it sent {"id": 7, "at": {"x": 3, "y": 4}}', "f = {k: {v: 2}}", "use map(x => { return { y: x }})", '{"user":{"name":"Ann"}} came back',
+    "take m[idx[3]] first", "x = a[b[0]] + c[d[1]]", "rows[order[k]] = 5;", "the list [1, [2, 3]] has two", "v = [[1, 2], [3, 4]][n[0]]",
+    "if (done || late) stop", "while (a || b) { wait(); }", "ok = x || y;", "return left || right", "test -f key || exit 1", "run(a) || fail(b)", "when p || q holds then r",
+)
+_CODE_SIGNS = frozenset("=;(){}[]\"<>+:,")
+
+
+def _features(marks: list[Mark], text: str) -> np.ndarray:
+    """A row for each mark: the shape of its own and what stands around it."""
+    out = np.zeros((len(marks), 10))
+    partners: dict[int, int] = {}
+    for m in marks:
+        partners[m.pair] = partners.get(m.pair, 0) + 1
+    for k, m in enumerate(marks):
+        lo, hi = max(0, m.start - 40), m.end + 40
+        around = text[lo : m.start] + text[m.end : hi]
+        line = text[max(text.rfind("\n", 0, m.start) + 1, m.start - 400) : m.start]
+        rest = text[m.end : m.end + 40].partition("\n")[0]
+        kin = sum(x.dialect == m.dialect and (x.weight >= 3 or x.kind == m.kind) and x.start - m.end < 200 and m.start - x.end < 200 for x in marks[max(0, k - 6) : k + 7]) - 1 if m.weight < 3 else sum(x.dialect == m.dialect for x in marks[max(0, k - 6) : k + 7]) - 1
+        g = text[m.start : m.end].strip()
+        opener = {"}}": "{", "]]": "["}.get(g, "")
+        balanced = bool(opener) and line.count(opener) - line.count(g[0]) >= 2  # both closing signs belong to openers in the line
+        row = bool(re.match(r"[ \t]*[|!]", line + g))
+        before, after = text[m.start - 1 : m.start], text[m.end : m.end + 1]
+        near = [ch for ch in around if not ch.isspace()]
+        out[k] = (
+            1.0,
+            m.weight >= 3,
+            min(kin, 3) / 3,
+            m.pair > 0 and partners[m.pair] > 1,
+            sum(ch in _CODE_SIGNS for ch in near) / max(1, len(near)),
+            balanced,
+            row,
+            m.kind == "cell",
+            not line.strip() or not rest.strip(),
+            before.isalnum() and after.isalnum(),
+        )
+    return out
+
+
+@cache
+def _log_odds() -> np.ndarray:
+    """Logistic regression on the labelled sample, by Newton's method: log-odds of markup for each feature, of either sign."""
+    xs, ys = [], []
+    for label, texts in ((1.0, _SAMPLE_MARKUP), (0.0, _SAMPLE_CONTENT)):
+        for t in texts:
+            f = _features(_marks(t), t)
+            xs.append(f)
+            ys.append(np.full(len(f), label))
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ w))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
+    return w
+
+
 def _cut(marks: list[Mark], text: str) -> list[bool]:
     """Minimum cut: whether each mark is markup. Source side: markup; sink side: content."""
     keep = [True] * len(marks)
+    odds = (_features(marks, text) @ _log_odds()).tolist()
     start = 0
     while start < len(marks):  # blocks are cut at blank lines that no pair spans
         stop, spans = start, {}
@@ -304,36 +374,35 @@ def _cut(marks: list[Mark], text: str) -> list[bool]:
                 break
             stop += 1
         block = marks[start:stop]
-        doubtful = any(abs(m.weight) < 3 for m in block)
-        if doubtful:
-            n = len(block)
-            size = 2 * n + 1  # marks, runs of words between them
-            graph: list[dict[int, float]] = [{} for _ in range(size + 2)]
-            s, t = size, size + 1
-
-            def join(a: int, b: int, c: float, d: float = 0.0) -> None:
-                graph[a][b] = graph[a].get(b, 0.0) + c
-                graph[b][a] = graph[b].get(a, 0.0) + d
-
-            for k, m in enumerate(block):
-                join(s, k, max(0.0, m.weight) + 0.01)
-                join(k, t, max(0.0, -m.weight) + 1.0)
-                before = text[block[k - 1].end if k else max(0, m.start - 80) : m.start]
-                words = sum(ch.isalnum() for ch in before)
-                join(n + k, t, min(6.0, 0.5 + 0.1 * words))  # words are content
-                if k and before.count("\n") <= 1:
-                    near = 0.6 / (1 + len(before) / 40)
-                    same = 1.0 if block[k - 1].dialect == m.dialect else 0.3
-                    join(k - 1, k, near * same, near * same)
-                    join(k, n + k, 0.05, 0.05)
-            first: dict[int, int] = {}
-            for k, m in enumerate(block):
-                if m.pair:
-                    if m.pair in first:
-                        join(first[m.pair], k, 3.0, 3.0)
-                    first[m.pair] = k
-            for k, marked in enumerate(_max_flow(graph, s, t)[:n]):
-                keep[start + k] = marked
+        n = len(block)
+        size = 2 * n + 1  # marks, runs of words between them
+        graph: list[dict[int, float]] = [{} for _ in range(size + 2)]
+        s, t = size, size + 1
+
+        def join(a: int, b: int, c: float, d: float = 0.0) -> None:
+            graph[a][b] = graph[a].get(b, 0.0) + c
+            graph[b][a] = graph[b].get(a, 0.0) + d
+
+        for k, m in enumerate(block):
+            join(s, k, max(0.0, odds[start + k]))
+            join(k, t, max(0.0, -odds[start + k]))
+            before = text[block[k - 1].end if k else max(0, m.start - 80) : m.start]
+            words = sum(ch.isalnum() for ch in before)
+            join(n + k, t, min(6.0, 0.5 + 0.1 * words))  # words are content
+            join(k, n + k, 0.15, 0.15)
+            if k and before.count("\n") <= 1:
+                join(k - 1, n + k, 0.15, 0.15)
+                near = 0.6 / (1 + len(before) / 40)
+                same = 1.0 if block[k - 1].dialect == m.dialect else 0.3
+                join(k - 1, k, near * same, near * same)
+        first: dict[int, int] = {}
+        for k, m in enumerate(block):
+            if m.pair:
+                if m.pair in first:
+                    join(first[m.pair], k, 3.0, 3.0)
+                first[m.pair] = k
+        for k, marked in enumerate(_max_flow(graph, s, t)[:n]):
+            keep[start + k] = marked
         start = stop
     return keep
 
