@@ -41,3 +41,23 @@ def test_spans_are_removed(spark):
 def test_long_text():
     ix = PassageIndex([(7, P)])
     assert [h[0] for h in ix.scan("Some other words here. " * 50_000 + P)] == [7]
+
+
+def test_small_words_and_slips_in_short_runs():
+    held = [
+        "1709 a crooked slate wall measured 712 crates about a ninth vellum map",  # small words exchanged inside, thirteen words
+        "Then a crooked slate wall measured 712 crates around the ninth vellum map.",  # a small word exchanged at the edge, twelve words
+        "712 crates around the nineth vellum map while a wax seal was hoisted",  # a misspelling and a small word
+        "1709 the croked slate wall meassured 712 crates arround the ninth velum map",  # no three content words in a row are right
+        "1709 the crooked slate wall measured 712 boxes around a ninth vellum map",  # one other word, two numbers agree
+    ]
+    free = ["Over 88 the crooked slate wall measured 95 crates around the ninth vellum map.", "Over a crooked slate wall measured 712 crates around the ninth."]
+    ix = PassageIndex([(7, P)])
+    assert [len(ix.scan(f"Before. {t} After.")) for t in held] == [1] * 5
+    assert [ix.scan(t) for t in free] == [[], []]
+
+
+def test_short_passage_as_a_whole():
+    ix = PassageIndex([(7, "The crooked slate wall measured 712 crates around the ninth map.")])
+    assert len(ix.scan("He wrote: a croked slate wall measured 712 crates about a ninth map. Then no more.")) == 1
+    assert ix.scan("The crooked slate wall measured 713 crates around the ninth map.") == []

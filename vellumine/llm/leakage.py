@@ -1,6 +1,6 @@
 """Held-out passages inside training documents: find, report and remove.
 
-Plan: the passages become a set of hashed n-grams of their content words, which
+Plan: the passages become a set of hashed pairs of their content words (next to each other, or with one between), which
 is broadcast in blocks of a bounded number of words; every document is scanned
 once per block by a narrow Arrow map (no shuffle, nothing kept but the hits),
 seeds are extended to aligned runs, and a run counts when it spans enough words.
@@ -47,13 +47,13 @@ def _norm(raw: str) -> str:
     return got
 
 
-def _similar(a: str, b: str) -> bool:
-    """One slip of the pen: at most two letters differ in a word of six or more, one in a shorter one."""
+def _similar(a: str, b: str, named: bool = False) -> bool:
+    """One slip of the pen: at most two letters differ in a word of six or more, one in a shorter one or a name."""
     if a == b:
         return True
     if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 3 or (a.isdigit() and b.isdigit()):
         return False
-    most = 2 if min(len(a), len(b)) >= 6 else 1
+    most = 2 if min(len(a), len(b)) >= 6 and not named else 1
     i = 0
     while i < min(len(a), len(b)) and a[i] == b[i]:
         i += 1
@@ -67,7 +67,7 @@ def _similar(a: str, b: str) -> bool:
 
 
 class PassageIndex:
-    """Content-word n-grams of a bounded block of passages; small enough to broadcast."""
+    """Content-word pairs of a bounded block of passages; small enough to broadcast."""
 
     def __init__(self, rows: list[tuple[int, str]], n: int = 3, least: int = 12):
         self.n, self.least = n, least
@@ -82,8 +82,9 @@ class PassageIndex:
             self.words[key], self.content[key] = w, at
             self.named[key] = [w[i].isdigit() or (i > 0 and found[i][:1].isupper()) for i in at]
             c = [w[i] for i in at]
-            for i in range(len(c) - n + 1):
-                self.grams[hash(tuple(c[i : i + n]))].append((key, i))
+            for gap in (1, 2):
+                for i in range(len(c) - gap):
+                    self.grams[hash((gap, c[i], c[i + gap]))].append((key, i))
         self.items = [i for i, _ in rows]
         self.grams = dict(self.grams)
 
@@ -95,12 +96,14 @@ class PassageIndex:
         words = [_norm(x) for x in raw]
         at = [i for i, x in enumerate(words) if x not in SMALL]
         c = [words[i] for i in at]
-        n, grams = self.n, self.grams
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, g in enumerate(zip(*(c[k:] for k in range(n)))):
-            for key, j in grams.get(hash(g), ()):
-                if self.content[key] and all(g[k] == self.words[key][self.content[key][j + k]] for k in range(n)):
-                    seeds[key].append((i, j))
+        grams = self.grams
+        seeds: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for gap in (1, 2):
+            for i, (a, b) in enumerate(zip(c, c[gap:])):
+                for key, j in grams.get(hash((gap, a, b)), ()):
+                    w, pat = self.words[key], self.content[key]
+                    if a == w[pat[j]] and b == w[pat[j + gap]]:
+                        seeds[key].append((i, j, gap))
         if not seeds:
             return []
         best: dict[int, tuple[int, int, int]] = {}
@@ -108,10 +111,10 @@ class PassageIndex:
             total = len(self.words[key])
             need = min(self.least, total)
             done: set[tuple[int, int]] = set()
-            for i, j in found:
-                if (i, j) in done:
+            for i, j, gap in found:
+                if (i, j) in done and (i + gap, j + gap) in done:
                     continue
-                pairs = self._extend(c, key, i, j)
+                pairs = self._extend(c, key, i, j, gap)
                 done.update(pairs)
                 run = self._span(words, at, key, pairs)
                 if run and run[0] >= need and run[0] > best.get(key, (0, 0, 0))[0]:
@@ -121,16 +124,21 @@ class PassageIndex:
         spans = [m.span() for m in _TOKEN.finditer(text)]
         return [(self.items[k], spans[a][0], spans[b][1], covered) for k, (covered, a, b) in sorted(best.items())]
 
-    def _extend(self, c: list[str], key: int, i: int, j: int) -> list[tuple[int, int]]:
+    def _extend(self, c: list[str], key: int, i: int, j: int, gap: int) -> list[tuple[int, int]]:
         """Aligned content words around a seed: equal or misspelt words, single other words in between."""
         pw, pat, named = self.words[key], self.content[key], self.named[key]
         p = lambda k: pw[pat[k]]
-        out = [(i + k, j + k) for k in range(self.n)]
+        out = [(i, j), (i + gap, j + gap)]
+        if gap == 2:
+            if _similar(c[i + 1], p(j + 1), named[j + 1]):
+                out.append((i + 1, j + 1))
+            elif named[j + 1] or c[i + 1].isdigit():
+                return out
         for step in (1, -1):
-            x, y = (i + self.n, j + self.n) if step == 1 else (i - 1, j - 1)
-            clean = self.n  # words matched since the last slip
+            x, y = (i + gap + 1, j + gap + 1) if step == 1 else (i - 1, j - 1)
+            clean = 1  # words matched since the last slip
             while 0 <= x < len(c) and 0 <= y < len(pat):
-                if _similar(c[x], p(y)):
+                if _similar(c[x], p(y), named[y]):
                     out.append((x, y))
                     x, y, clean = x + step, y + step, clean + 1
                     continue
@@ -138,11 +146,11 @@ class PassageIndex:
                 inx, iny = 0 <= x1 < len(c), 0 <= y1 < len(pat)
                 if clean < 1:
                     break
-                if inx and iny and _similar(c[x1], p(y1)) and not named[y] and not c[x].isdigit():
+                if inx and iny and _similar(c[x1], p(y1), named[y1]) and not named[y] and not c[x].isdigit():
                     x, y, clean = x1, y1, 0
-                elif inx and _similar(c[x1], p(y)) and not c[x].isdigit():
+                elif inx and _similar(c[x1], p(y), named[y]) and not c[x].isdigit():
                     x, clean = x1, 0
-                elif iny and _similar(c[x], p(y1)) and not named[y]:
+                elif iny and _similar(c[x], p(y1), named[y1]) and not named[y]:
                     y, clean = y1, 0
                 else:
                     break
@@ -154,15 +162,19 @@ class PassageIndex:
         exact = [q for q in pairs]
         a, b = exact[0], exact[-1]
         slips = max(b[1] - a[1], b[0] - a[0]) + 1 - len(exact)
-        if slips * 3 > len(exact):
+        if slips * 3 > len(exact) or len(exact) < self.n:
             return None
         da, db, pa, pb = at[a[0]], at[b[0]], pat[a[1]], pat[b[1]]
-        while da > 0 and pa > 0 and words[da - 1] == pw[pa - 1]:
+        swapped = False  # one exchanged small word at either edge
+        while da > 0 and pa > 0 and (words[da - 1] == pw[pa - 1] or not swapped and words[da - 1] in SMALL and pw[pa - 1] in SMALL):
+            swapped |= words[da - 1] != pw[pa - 1]
             da, pa = da - 1, pa - 1
-        while db + 1 < len(words) and pb + 1 < len(pw) and words[db + 1] == pw[pb + 1]:
+        swapped = False
+        while db + 1 < len(words) and pb + 1 < len(pw) and (words[db + 1] == pw[pb + 1] or not swapped and words[db + 1] in SMALL and pw[pb + 1] in SMALL):
+            swapped |= words[db + 1] != pw[pb + 1]
             db, pb = db + 1, pb + 1
-        inner = sum(1 for (i, j), (x, y) in zip(exact, exact[1:]) if words[at[i] + 1 : at[x]] != pw[pat[j] + 1 : pat[y]])
-        if pb - pa + 1 < self.least + 2 and slips + inner > 1:  # barely long enough: a single slip at most
+        facts = sum(self.named[key][j] and words[at[i]] == pw[pat[j]] for i, j in exact)
+        if slips >= max(1, facts) and pb - pa + 1 < self.least + 4:  # barely long enough: more names and numbers must agree than words were exchanged, else the shape alone is shared
             return None
         return pb - pa + 1, da, db
 
@@ -182,7 +194,7 @@ def find_leaks(
 
     The passages are the stated query set: they are read to the driver in blocks of at most
     ``block_words`` words (about 40 MB of index), and every block is compared with all documents.
-    A passage shorter than ``least_words`` counts only as a whole, and only if it has ``n`` content words.
+    A passage shorter than ``least_words`` counts only as a whole, and only if ``n`` of its content words are aligned.
     Passages or documents that are null or empty give no rows; a null id is kept; repeated document rows are
     reported once for each; repeated items likewise.  Columns other than those named are not read.
     """
