@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.encoding import garbled_ids, repair_encoding
+from vellumine.llm.encoding import garbled_ids, repair_and_restore
 from vellumine.llm.leakage import find_leaks
 from vellumine.llm.markup import clean_markup, markup_found
 from vellumine.llm.mixing import mix
@@ -43,7 +43,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair_encoding(table(spark, sf_dir, "chunks"))
+    return repair_and_restore(table(spark, sf_dir, "chunks"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
