@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_vectors(*_vectors(spark, sf_dir), k=5, nprobe=None, rerank=None, books=8, cell_rows=4096)
+    return similar_vectors(*_vectors(spark, sf_dir), k=5)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
