@@ -47,3 +47,27 @@ def test_odd_rows(spark):
         n[r["doc_id"]] = n.get(r["doc_id"], 0) + 1
     assert n == {None: 2, 4: 2, 5: 3000, 6: 2}
     assert sentence_units(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_brackets_within_brackets(spark):
+    cases = [
+        ('He left ("too late. Really!"). They stayed.', ['He left ("too late. Really!").', "They stayed."]),
+        ("(Kept “as it was.” Then lost.) Gone. Why?", ["(Kept “as it was.” Then lost.)", "Gone.", "Why?"]),
+        ("(It was found.)” He said. No.", ["(It was found.)”", "He said.", "No."]),
+        ("An open ( bracket. Next one.", ["An open ( bracket.", "Next one."]),
+    ]
+    out = sentence_units(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    for i, (_, want) in enumerate(cases):
+        assert [r["unit"] for r in sorted(out, key=lambda r: r["start_char"]) if r["doc_id"] == i] == want
+
+
+def test_one_paragraph_of_many_sentences(spark):
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        d = spark.createDataFrame([(1, "A short sentence (with 3.5 words. Or more.) stands here. " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert sentence_units(d).count() == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 16 * max(took[0], 0.5)  # eight times the text; a quadratic plan takes 64 times as long

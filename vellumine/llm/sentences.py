@@ -19,7 +19,10 @@ DOT, CITE, QMARK = "\ue003", "\ue004", "\ue005"  # stand for . > ?
 _PAIRS = [("„", "“"), ("„", "”"), ("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"), ('"', '"'), ("‘", "’"), ("(", ")"), ("（", "）"), ("[", "]")]
 _OPEN = [chr(0xE010 + i) for i in range(len(_PAIRS))]
 _CLOSE = [chr(0xE020 + i) for i in range(len(_PAIRS))]
-O, C = f"\ue010-{_OPEN[-1]}", f"\ue020-{_CLOSE[-1]}"
+_INNER = [chr(0xE030 + i) for i in range(len(_PAIRS))]  # closing marks inside other pairs
+_TERMS = ".!?…؟।॥۔։。！？｡;"
+_HIDDEN = "".join(chr(0xE040 + i) for i in range(len(_TERMS)))  # terminators inside pairs
+O, C, CO, CI = f"\ue010-{_OPEN[-1]}", f"\ue020-{_CLOSE[-1]}\ue030-{_INNER[-1]}", f"\ue020-{_CLOSE[-1]}", f"\ue030-{_INNER[-1]}"
 WS = r"[\s\u00a0\u202f\u3000\ue004]"
 
 # Abbreviations after which no sentence ends.
@@ -51,7 +54,7 @@ MASK_DOTS = (
 )
 MASK_URL_Q = r"(?<=[\w/])\?(?=[\p{Ll}\d_]+=)"
 _NEXT = rf"[{O}\p{{Ps}}\p{{Pi}}\"'¿¡*_~]*+{WS}*+(?:[\p{{Lu}}\p{{Lt}}\p{{Lo}}\d£€$§№]|\p{{Ll}}\p{{Lu}})"
-_OUT = rf"(?![^{O}{C}]*+[{C}])"  # the next bracket or quotation mark, if any, opens
+_OUT = rf"(?![{C}])(?<![{CI}][\"”’»*_~]{{0,3}})"  # not before a closing mark, nor after one that leaves another pair open
 _CJK = r"぀-ヿ㐀-鿿ｦ-ﾟ"
 _AFTER = rf"[{C}\"”’»*_~]*+(?:(?={WS}+{_NEXT})"
 _GLUED = rf"(?=[{O}¿¡]*+(?:\p{{Lu}}[\p{{Ll}}{WS[1:-1]}]|[ء-يऀ-ॣ]))"
@@ -81,13 +84,22 @@ def _sub(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+_RUN = 128
+
+
 def _explode(df: DataFrame, keep: list[str], base: str, text: str) -> DataFrame:
     """``keep``, the piece as ``text`` and its offset as ``base``; inserted marks are not counted."""
     pieces = F.split(F.col(text), SEP)
-    marks = lambda s: s.startswith(HEAD).cast("int") + s.endswith(DROP).cast("int")
-    starts = lambda p: F.aggregate(p, F.array(F.lit(0)), lambda a, s: F.array_append(a, F.element_at(a, -1) + F.length(s) - marks(s)))
+    width = lambda s: F.length(s) - s.startswith(HEAD).cast("int") - s.endswith(DROP).cast("int")
+    sums = lambda v: F.aggregate(v, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
     df = df.select(*keep, F.col(base).alias("_b"), pieces.alias("_p"))
-    df = df.select(*keep, "_b", F.explode(F.arrays_zip(F.col("_p").alias("s"), starts(F.col("_p")).alias("o"))).alias("_x"))
+    # Running sums inside runs of pieces, then over the runs' totals: appending to one array would copy it for every piece.
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_p") - 1) / _RUN).cast("int")), lambda i: sums(F.transform(F.slice(F.col("_p"), i * _RUN + 1, F.lit(_RUN)), width)))
+    df = df.select(*keep, "_b", "_p", F.when(F.size("_p") > 1, runs).otherwise(F.array(F.array(F.lit(0)))).alias("_q"))
+    firsts = sums(F.transform(F.col("_q"), lambda q: F.element_at(q, -1)))
+    starts = F.when(F.size("_q") > 1, F.flatten(F.zip_with(F.col("_q"), F.slice(firsts, F.lit(1), F.size("_q")), lambda q, f: F.transform(F.slice(q, F.lit(1), F.size(q) - 1), lambda x: x + f)))).otherwise(F.get("_q", F.lit(0)))
+    # The zip is no plain column, so that no filter on it is inferred and pushed through all the replacements.
+    df = df.select(*keep, "_b", F.explode(F.arrays_zip(F.col("_p").alias("s"), starts.alias("o"))).alias("_x"))
     return df.select(*keep, (F.col("_b") + F.col("_x.o")).alias(base), F.col("_x.s").alias(text)).where(F.col(text) != "")
 
 
@@ -101,11 +113,23 @@ def _mask_pairs(df: DataFrame, keep: list[str], t: str) -> DataFrame:
         else:
             p = rf"\Q{a}\E([^\Q{a}{z}\E]*+)\Q{z}\E" if a != "[" else r"\[([^\[\]]*+)\]"
         df = df.select(*keep, F.when(F.col(t).contains(a), _sub(F.col(t), p, f"{o}$1{c}")).otherwise(F.col(t)).alias(t))
-    return df
+    # What stands before a closing mark is inside a pair: its terminators are hidden, save those right before that mark,
+    # and the closing mark it begins with leaves a pair open.
+    parts = F.split(F.col(t), rf"(?=[{O}{CO}])")
+    tail = lambda p: F.regexp_extract(p, rf"[{_TERMS[:-1]}]+[\"”’»*_~]*$", 0)
+    hide = lambda p: F.concat(
+        F.translate(F.substring(p, 1, 1), "".join(_CLOSE) + _TERMS, "".join(_INNER) + _HIDDEN),
+        F.translate(p.substr(F.lit(2), F.greatest(F.length(p) - F.length(tail(p)) - 1, F.lit(0))), _TERMS, _HIDDEN),
+        F.when(F.length(tail(p)) < F.length(p), tail(p)).otherwise(F.expr("''")),
+    )
+    df = df.withColumn("_parts", F.when(F.col(t).rlike(rf"[{CO}]"), parts))
+    inside = F.transform(F.col("_parts"), lambda p, i: F.when(F.get(F.col("_parts"), i + 1).rlike(rf"^[{CO}]"), hide(p)).otherwise(p))
+    return df.select(*keep, F.when(F.col("_parts").isNotNull(), F.array_join(inside, "")).otherwise(F.col(t)).alias(t))
 
 
 def _restore(t: Column) -> Column:
-    return F.translate(t, DOT + CITE + QMARK + "".join(_OPEN) + "".join(_CLOSE), ".>?" + "".join(a for a, _ in _PAIRS) + "".join(z for _, z in _PAIRS))
+    opened, closed = "".join(a for a, _ in _PAIRS), "".join(z for _, z in _PAIRS)
+    return F.translate(t, DOT + CITE + QMARK + "".join(_OPEN) + "".join(_CLOSE) + "".join(_INNER) + _HIDDEN, ".>?" + opened + closed + closed + _TERMS)
 
 
 def sentence_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -116,10 +140,10 @@ def sentence_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Only the two named columns are read, so other columns may have any name.
 
     Null or blank texts and empty tables give no rows; a null id is kept as null; repeated rows give
-    their units once for each repeat.  Characters U+E000 to U+E02F of the input come out as U+FFFD
+    their units once for each repeat.  Characters U+E000 to U+E04F of the input come out as U+FFFD
     in ``unit``; positions are not affected.
     """
-    own = "".join(chr(0xE000 + i) for i in range(0x30))
+    own = "".join(chr(0xE000 + i) for i in range(0x50))
     t = F.col(text_col)
     t = F.when(t.rlike(f"[{own[0]}-{own[-1]}]"), F.translate(t, own, "\ufffd" * len(own))).otherwise(t)
     out = df.where(F.trim(F.col(text_col)) != "").select(F.col(id_col).alias("_id"), F.lit(0).alias("_o"), t.alias("_t"))
