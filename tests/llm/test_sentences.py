@@ -7,6 +7,7 @@ CASES = {
     "quotation": ('"We saw it. Nobody told us," Lee wrote. “Keep it,” said Ms. Po, “it is old.” I left.', ['"We saw it. Nobody told us," Lee wrote.', "“Keep it,” said Ms. Po, “it is old.”", "I left."]),
     "brackets": ("(The test was moved in 2023.) They stayed.", ["(The test was moved in 2023.)", "They stayed."]),
     "lower start": ("All fine. iMeter units were sold, e.g. one. Well ... it is.", ["All fine.", "iMeter units were sold, e.g. one.", "Well ... it is."]),
+    "ordinals": ("Die Heizung vom 17. März 2025 wurde geprüft. Bis zum 7. Juni zahlen. Es waren 7. Marie kam, z. B. Eskish, u. a. heute.", ["Die Heizung vom 17. März 2025 wurde geprüft.", "Bis zum 7. Juni zahlen.", "Es waren 7.", "Marie kam, z. B. Eskish, u. a. heute."]),
     "glued": ("Квартира готова.Мастер сказал, т. е. ушёл.", ["Квартира готова.", "Мастер сказал, т. е. ушёл."]),
     "french": ("Quelle facture ! « La pièce est là. Merci », a dit Mme Po. Le Dr Lee vient.", ["Quelle facture !", "« La pièce est là. Merci », a dit Mme Po.", "Le Dr Lee vient."]),
     "chinese": ("请在3天内缴清！“合同丢了。请等等。”管理员这样回复。数字为8.4元。", ["请在3天内缴清！", "“合同丢了。请等等。”管理员这样回复。", "数字为8.4元。"]),

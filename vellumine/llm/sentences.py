@@ -37,6 +37,9 @@ NUMERIC = (
     "Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec"
 ).split()
 
+# Months that are written with a capital after an ordinal number.
+MONTHS = "Jänner Januar Jan Februar Feb März Mär April Apr Mai Juni Jun Juli Jul August Aug September Sept Sep Oktober Okt November Nov Dezember Dez".split()
+
 
 def _any(words: list[str]) -> str:
     w = [*words, *(x[0].upper() + x[1:] for x in words if x[0].islower())]
@@ -49,6 +52,8 @@ MASK_DOTS = (
     rf"|(?<={_B}(?:{_any(NEVER)})\.)"
     rf"|(?<={_B}(?:{_any(NUMERIC)})\.)(?={WS}*[\d§£€$])"
     rf"|(?<=(?<![\p{{L}}\p{{M}}\d'’])\p{{Lu}}\.)(?={WS}*\p{{Lu}}|{WS}+\d)"  # initials
+    rf"|(?<=(?<![\p{{L}}\p{{M}}\d'’])\p{{L}}\.)(?={WS}*\p{{L}}[.\ue003])"  # abbreviations of several letters, each with its dot
+    rf"|(?<=(?<!\d)\d{{1,2}}\.)(?={WS}*(?:{'|'.join(MONTHS)})(?!\p{{L}}))"  # ordinals in dates
     r"|(?<=(?<![\p{L}\p{M}])[ء-ي]\.)"  # one Arabic letter: a title
     r"|(?<=[\p{L}\d]\.)(?=[\p{Ll}/]))"  # inside addresses and file names
 )
