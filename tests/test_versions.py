@@ -31,6 +31,13 @@ def test_versions_and_changes(spark, table):
     assert change(0, three) == [("insert", 2, "B"), ("insert", 3, None)] and change(three, three) == []
     four = table.compact()
     assert rows(table.read(four)) == [(2, "B"), (3, None)]
+    assert change(three, four) == [] and change(0, four) == change(0, three)
+    table.commit(df(spark, (4, "d")), df(spark, (3, "")).select("k"))
+    five = table.compact()
+    assert change(two, five) == [("delete", 1, "a"), ("delete", 3, None), ("insert", 4, "d")]
+    assert change(one, five) == [("delete", 1, "a"), ("delete", 2, "b"), ("delete", 3, None), ("insert", 2, "B"), ("insert", 4, "d")]
+    table.commit(None, df(spark, (4, "")).select("k"))
+    assert change(three, table.latest()) == [("delete", 3, None)]  # added before a compaction and removed after it
 
 
 def test_equal_rows_are_kept_apart(spark, table):
@@ -55,8 +62,43 @@ def test_runs_neither_skip_nor_repeat(spark, table, tmp_path):
 
     with pytest.raises(RuntimeError):
         process_new(table, out, broken)
+    table.compact()
     process_new(table, out, step)
     assert rows(out.read()) == [(1, "a"), (2, "b"), (3, "c")]
+    table.compact()
+    process_new(table, out, step)
+    assert rows(out.read()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_a_version_is_taken_once(spark, table):
+    from concurrent.futures import ThreadPoolExecutor
+
+    first = table.commit(df(spark, (1, "a")))
+    m = table.manifest(first)
+
+    def take(n):
+        try:
+            table._publish(first + 1, {**m, "version": first + 1, "properties": {"writer": n}})
+            return n
+        except ConcurrentCommit:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [n for n in pool.map(take, range(8)) if n is not None]
+    assert len(won) == 1 and table.manifest(first + 1)["properties"]["writer"] == won[0]
+
+
+def test_a_second_run_takes_only_later_scans(spark, tmp_path):
+    listing = spark.createDataFrame([(o, s, p, *rest) for p, ls, *_ in CASES for o, s, *rest in ls], L)
+    catalog = spark.createDataFrame([], FILES)
+    queue = spark.createDataFrame([], "content_hash string, state string")
+    runs = spark.createDataFrame([(3, "succeeded")], "scan_id int, status string")
+    home = f"file://{tmp_path}/home"
+    first = files_to_process(listing, runs, catalog, queue, home)
+    assert first.count() == 4
+    later = spark.createDataFrame([(50, 6, "/more.md", "file", 1, 1, None, None, False, "m2")], L)
+    again = files_to_process(later, runs, catalog, queue, home)
+    assert [tuple(r) for r in again.collect()] == [("/more.md", "m2")]
 
 
 L = "obs_id long, scan_id int, path string, kind string, size long, mtime_ns long, stat_error string, read_error string, is_dataless boolean, content_hash string"
