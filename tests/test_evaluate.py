@@ -79,11 +79,19 @@ def test_quality(spark):
     assert [tuple(r) for r in quality.echoes(q, d).collect()] == [("q1", 1, 1)]
     hits = quality.denied_lines(spark.createDataFrame([(1, "a\nSome Roof-Vent here\n\nDIRECT debit"), (2, None)], "doc_id long, text string"), ["roof vent", "direct debit", "--"])
     assert {tuple(r) for r in hits.collect()} == {(1, "roof vent", 2), (1, "direct debit", 4)}
-    g = spark.createDataFrame([("a", "x", ["corpus/p"], [], ["kw"]), ("a", " ", [], [], ["kw", "nl"]), ("b", "x", ["/etc/p", "corpus/p"], ["corpus/p"], ["nl"])], GOLDEN)
-    known = spark.createDataFrame([("corpus/p",)], "path string")
+    g = spark.createDataFrame([("a", "x", ["corpus/p"], [], ["kw"]), ("a", " ", ["corpus/p"], [], ["exact", "nl", "zero-answer"]), ("e", "x", [], [], ["exact"]), ("h", "so the pump was much too loud", ["corpus/q"], [], ["nl"]), ("i", "the pump was too loud", ["corpus/q"], [], ["exact"]), ("o", "x", ["corpus/../p", "corpus/./a/../p"], [], ["nl"]), ("b", "x", ["/etc/p", "corpus/p"], ["corpus/p"], ["nl"])], GOLDEN)
+    known = spark.createDataFrame([("corpus/p", None), ("corpus/q", "A pump (too loud) stopped.")], "path string, text string")
     got = {tuple(r) for r in quality.golden_violations(g, known).collect()}
-    assert got == {("a", "blank_query"), ("a", "register"), ("a", "answers"), ("a", "repeated_id"), ("b", "overlap"), ("b", "outside"), ("b", "unknown_path")}
+    assert got == {("a", "blank_query"), ("a", "register"), ("a", "answers"), ("a", "repeated_id"), ("b", "overlap"), ("b", "outside"), ("h", "echo"), ("o", "outside"), ("o", "unknown_path")}
 
 
 def test_formats():
     assert human_bytes(5) == "5 B" and human_bytes(1536) == "1.5 KiB" and human_duration(3700) == "1h1m" and human_duration(59) == "59s"
+
+
+def test_tree_is_scanned_for_denied_entries(spark, tmp_path):
+    for name, raw in {"a.txt": b"fine\nRoof&nbsp;Vent", "b.bin": b"\xff\xfe roof vent", ".git/c": b"roof vent", "x/uv.lock": b"roof vent", "x/d.html": b"direct-debit"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    got = {(r["path"].rpartition("/")[2], r["entry"], r["line"]) for r in quality.scan_tree(spark, str(tmp_path), ["roof vent", "direct debit"]).collect()}
+    assert got == {("a.txt", "roof vent", 2), ("d.html", "direct debit", 1)}

@@ -86,6 +86,14 @@ def tilde_path(path: Column, home: str) -> Column:
     return F.when(path == home, F.lit("~")).when(path.startswith(home.rstrip("/") + "/"), F.concat(F.lit("~"), F.substring(path, len(home.rstrip("/")) + 1, 1 << 30))).otherwise(path)
 
 
+def is_confined(path: Column, root: str) -> Column:
+    """:func:`confined` as a column: relative, and beneath ``root`` once ``.`` and ``..`` are resolved."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    up = lambda a: (F.size(a) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), a), -1) != "..")
+    clean = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when((p == "..") & up(a), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, p)))
+    return ~path.startswith("/") & (F.size(clean) > 1) & (F.get(clean, F.lit(0)) == root)
+
+
 # -- on the driver -------------------------------------------------------------
 def normalize_roots(roots: list[str]) -> list[str]:
     """Clean, without repeats and without roots inside others, in byte order."""
@@ -96,21 +104,6 @@ def normalize_roots(roots: list[str]) -> list[str]:
     return kept
 
 
-def canonical_case(path: str) -> str:
-    """The spelling on disk, component by component; an exact match wins, what does not exist stays as it is."""
-    done = "/"
-    parts = [p for p in path.split("/") if p]
-    for i, part in enumerate(parts):
-        try:
-            names = os.listdir(done)
-        except OSError:
-            return posixpath.join(done, *parts[i:])
-        if part not in names:
-            part = next((n for n in sorted(names) if n.casefold() == part.casefold()), part)
-        done = posixpath.join(done, part)
-    return done
-
-
 def confined(path: str, root: str = "corpus") -> bool:
     """Relative, and beneath ``root`` when cleaned."""
     return not path.startswith("/") and posixpath.normpath(path).startswith(root + "/")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellumine.runtime import broadcast_if_small
+
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
@@ -22,7 +24,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text
     wanted = q.select("t").distinct()
     words = chunks.select(F.col(id_col).alias("_i"), tokens(F.col(text_col)).alias("w"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    post = words.select("_i", F.size("w").alias("dl"), F.explode("w").alias("t")).join(wanted, "t", "left_semi").groupBy("t", "_i", "dl").agg(F.count("*").alias("tf"))
+    post = words.select("_i", F.size("w").alias("dl"), F.explode("w").alias("t")).join(broadcast_if_small(wanted, 500_000), "t", "left_semi").groupBy("t", "_i", "dl").agg(F.count("*").alias("tf"))
     df = post.groupBy("t").agg(F.count("*").alias("df"))
     s = F.broadcast(stats)  # one row
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

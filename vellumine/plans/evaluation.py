@@ -71,7 +71,13 @@ def denylist_hits(spark, sf_dir) -> DataFrame:
 
 
 def golden_rules(spark, sf_dir) -> DataFrame:
-    return quality.golden_violations(table(spark, sf_dir, "golden_queries"), table(spark, sf_dir, "catalog_files"), "/vault").where("rule != 'outside'").distinct()
+    """The judged paths as relative ones, save those of one folder, which stay absolute and so lie outside."""
+    local = lambda c: F.when(c.startswith("/vault/") & ~c.startswith("/vault/tax/"), F.concat(F.lit("corpus/"), F.substring(c, 8, 1 << 20))).otherwise(c)
+    g = table(spark, sf_dir, "golden_queries")
+    g = g.withColumn("relevant", F.transform("relevant", local)).withColumn("acceptable", F.transform("acceptable", local))
+    texts = table(spark, sf_dir, "chunks").select("content_hash", "text")
+    docs = table(spark, sf_dir, "catalog_files").select(local(F.col("path")).alias("path"), "content_hash").join(texts, "content_hash", "left").select("path", "text")
+    return quality.golden_violations(g, docs).distinct()
 
 
 def compose_passages(spark, sf_dir) -> DataFrame:
@@ -138,9 +144,14 @@ marks AS (SELECT id, path, max(j) AS j FROM judged GROUP BY ALL),
 every AS (SELECT id, path FROM judged UNION SELECT g.id, f.path FROM golden_queries g JOIN catalog_files f ON length(f.path) = length(g.query) % 25 + 25),
 """
 _SLICES = "unnest(list_concat(['overall'], CASE WHEN NOT list_contains(tags, 'exact') THEN ['no_exact'] ELSE []::VARCHAR[] END, list_transform(list_distinct(tags), lambda x: 'tag:' || x))) AS slice"
-_STOP = ", ".join(f"'{w}'" for w in quality.STOPWORDS)
+# Fixed values, written out so that the SQL does not depend on the operator's.
+_STOP = (
+    "'a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'did', 'do', 'does', 'for', 'from', 'had', 'has', 'have', 'how', 'i', 'in', 'is', 'it', 'its', 'me', 'much', 'my', 'of', 'on', 'or', "
+    "'our', 'so', 'that', 'the', 'their', 'them', 'they', 'this', 'to', 'up', 'was', 'we', 'were', 'what', 'when', 'where', 'which', 'who', 'why', 'will', 'with', 'you', 'your'"
+)
 _TERMS = lambda c: rf"list_filter(list_transform(regexp_split_to_array(lower({c}), '\s+'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda x: x <> '' AND x NOT IN ({_STOP}))"
 _GRAMS = lambda c: f"(SELECT CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) ELSE [] END FROM (SELECT {c} AS t))"
+_LOCAL = lambda c: f"list_transform({c}, lambda x: CASE WHEN starts_with(x, '/vault/') AND NOT starts_with(x, '/vault/tax/') THEN 'corpus/' || x[8:] ELSE x END)"
 
 SQL = {
     "golden_score_per_query": _RANKED + _scores(7, "a") + " SELECT id, n_relevant, round(recall, 6) AS recall, round(rr, 6) AS rr, success, acceptable FROM sa",
@@ -166,14 +177,21 @@ SELECT id, round(CASE WHEN len(q) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(q, l
     "denylist_hits": r"""WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS ls FROM documents),
 n AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS t FROM l), e AS (SELECT unnest(['direct debit', 'Pension-Letter', 'roof vent']) AS entry)
 SELECT doc_id, entry, line FROM n, e WHERE contains(regexp_replace(lower(t), '[^\p{L}\p{N}]', '', 'g'), regexp_replace(lower(entry), '[^\p{L}\p{N}]', '', 'g'))""",
-    "golden_rules": """SELECT DISTINCT id, rule FROM (
-SELECT id, 'blank_query' AS rule FROM golden_queries WHERE trim(coalesce(query, '')) = ''
-UNION ALL SELECT id, 'register' FROM golden_queries WHERE len(list_intersect(tags, ['kw', 'nl', 'recall'])) <> 1
-UNION ALL SELECT id, 'answers' FROM golden_queries WHERE list_contains(tags, 'zero-answer') <> (len(relevant) = 0)
-UNION ALL SELECT id, 'repeated_path' FROM golden_queries WHERE len(list_distinct(relevant)) <> len(relevant) OR len(list_distinct(acceptable)) <> len(acceptable)
-UNION ALL SELECT id, 'overlap' FROM golden_queries WHERE list_has_any(relevant, acceptable)
-UNION ALL SELECT id, 'repeated_id' FROM golden_queries GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT id, 'unknown_path' FROM (SELECT id, unnest(list_concat(relevant, acceptable)) AS path FROM golden_queries) p WHERE NOT EXISTS (SELECT 1 FROM catalog_files f WHERE f.path = p.path))""",
+    "golden_rules": f"""WITH q AS (SELECT id, query, tags, {_LOCAL('relevant')} AS relevant, {_LOCAL('acceptable')} AS acceptable FROM golden_queries),
+p AS (SELECT id, query, tags, unnest(list_concat(relevant, acceptable)) AS path FROM q),
+f AS (SELECT CASE WHEN starts_with(path, '/vault/') AND NOT starts_with(path, '/vault/tax/') THEN 'corpus/' || path[8:] ELSE path END AS path, content_hash FROM catalog_files),
+t AS (SELECT DISTINCT f.path, unnest({_GRAMS(_TERMS("c.text"))}) AS g FROM f JOIN chunks c ON c.content_hash = f.content_hash WHERE f.path IN (SELECT path FROM p)),
+w AS (SELECT id, path, unnest({_GRAMS(_TERMS("query"))}) AS g FROM p WHERE NOT list_contains(tags, 'exact') AND NOT list_contains(tags, 'human') AND starts_with(path, 'corpus/'))
+SELECT DISTINCT id, rule FROM (
+SELECT id, 'blank_query' AS rule FROM q WHERE trim(coalesce(query, '')) = ''
+UNION ALL SELECT id, 'register' FROM q WHERE len(list_intersect(tags, ['kw', 'nl', 'recall', 'exact'])) <> 1
+UNION ALL SELECT id, 'answers' FROM q WHERE list_contains(tags, 'zero-answer') AND len(relevant) > 0
+UNION ALL SELECT id, 'repeated_path' FROM q WHERE len(list_distinct(relevant)) <> len(relevant) OR len(list_distinct(acceptable)) <> len(acceptable)
+UNION ALL SELECT id, 'overlap' FROM q WHERE list_has_any(relevant, acceptable)
+UNION ALL SELECT id, 'repeated_id' FROM q GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT id, 'outside' FROM p WHERE NOT starts_with(path, 'corpus/')
+UNION ALL SELECT id, 'unknown_path' FROM p WHERE starts_with(path, 'corpus/') AND path NOT IN (SELECT path FROM f)
+UNION ALL SELECT w.id, 'echo' FROM w JOIN t ON t.path = w.path AND t.g = w.g)""",
     "compose_passages": """SELECT id, sha256(p) AS passage_hash, strlen(p) AS bytes, strlen(p) > 2048 AS too_long FROM (SELECT id, 'title: ' || CASE WHEN coalesce(heading_path, '') = '' THEN 'none' ELSE heading_path END || ' | text: ' || text AS p FROM chunks)""",
     "compose_queries": "SELECT id, 'query: ' || query AS composed FROM golden_queries",
     "normalize_encodings": "SELECT doc_id, sha256(text) AS text_hash, NULL::VARCHAR AS error FROM documents",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -36,8 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (single-machine tests), a temporary folder is
-    made once and set as the checkpoint folder of the context.
+    Where a local session names none (tests), a temporary folder is made once and set as the checkpoint folder of
+    the context. On a cluster that would be a folder of each machine, so there the setting is required.
     """
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if got:
@@ -45,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     have = spark.sparkContext.getCheckpointDir()
     if have:
         return have.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='vellumine-')}"
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -78,11 +79,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def arrow_batch(spark: SparkSession, rows: int) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def package_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
