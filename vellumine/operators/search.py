@@ -107,9 +107,40 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
-    """The ``k`` nearest rows by (distance, id), with ``distance``; a scan and a bounded top-k, no shuffle of vectors."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.withColumn("distance", cosine_distance(F.col(vec_col), q)).where("distance is not null").orderBy("distance", id_col).limit(k)
+    """The ``k`` nearest rows by (distance, id), with ``distance``; a scan and a bounded top-k, no shuffle of vectors.
+
+    Null, zero, not finite vectors and those of another length have no distance and never match. The query's own
+    norm is taken once.
+    """
+    norm = float(np.linalg.norm(np.asarray(query, np.float64)))
+    if not norm or not np.isfinite(norm):
+        return vectors.withColumn("distance", F.lit(None).cast("double")).limit(0)
+    q = F.array(*(F.lit(float(x) / norm) for x in query))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    v = F.transform(vec_col, lambda x: x.cast("double"))
+    size = F.sqrt(total(F.transform(v, lambda x: x * x)))
+    d = F.when((F.size(vec_col) == len(query)) & (size > 0), 1.0 - total(F.zip_with(v, q, lambda x, y: x * y)) / size)
+    return vectors.withColumn("distance", d).where("distance is not null and not isnan(distance)").orderBy("distance", id_col).limit(k)
+
+
+def distances(vectors: DataFrame, query: list[float], id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
+    """``(id, distance)`` of the vectors that have one, in one narrow map over the scan, so that no vector is shuffled."""
+    q = np.asarray(query, np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        q = q / np.linalg.norm(q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.asarray(b.column("_v").flatten().fill_null(np.nan), np.float64).reshape(-1, len(q))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                d = 1.0 - (x @ q) / np.sqrt(np.einsum("ij,ij->i", x, x))
+            good = np.isfinite(d)
+            yield pa.RecordBatch.from_arrays([b.column("_i").filter(pa.array(good)), pa.array(d[good])], [id_col, "distance"])
+
+    own = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) == len(query))).select(F.col(id_col).alias("_i"), F.col(vec_col).alias("_v"))
+    return own.mapInArrow(run, f"`{id_col}` {dict(vectors.dtypes)[id_col]}, distance double")
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "embedding", query_col: str = "query_id", query_vec: str = "embedding", block: int = 4096) -> DataFrame:
@@ -185,7 +216,8 @@ def collapse_best(hits: DataFrame, limit: int, keys: list[str] | None = None, id
 def with_places(best: DataFrame, files: DataFrame) -> DataFrame:
     """``best`` with ``path``, the primary one, and ``also_at``, the others sorted; contents without a file drop out.
 
-    The hits are few and the join comes after the top-k, so a content at a thousand places costs one group.
+    The join comes after the top-k, so a content at a thousand places costs one group; ``best`` is broadcast and must
+    be the result of a limit of at most ``MOST_K``, as in :func:`search`.
     """
     mine = files.where("content_hash is not null").join(F.broadcast(best.select("content_hash").distinct()), "content_hash", "left_semi")
     places = mine.groupBy("content_hash").agg(primary_path().alias("path"), F.collect_set("path").alias("_all"))
@@ -210,20 +242,23 @@ def search(chunks: DataFrame, vectors: DataFrame, generations: DataFrame, files:
     g = current_generation(generations)
     if len(query) != g["dims"]:
         raise DimensionMismatch(f"query has {len(query)} dimensions, the index {g['dims']}")
-    own = vectors.where(F.col("generation") == g["generation"]).select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
-    live = chunks.join(files.where("content_hash is not null").select("content_hash"), "content_hash", "left_semi")
-    text = chunks.select(F.col("id").alias("chunk_id"), "content_hash", "ordinal", "text", "heading_path")
+    own = vectors.where(F.col("generation") == g["generation"])
+    # Repeated rows of a chunk count by the nearest; from here on there are ids and distances only.
+    near = distances(own, query).groupBy("chunk_id").agg(F.min("distance").alias("distance"))
+    ids = chunks.select(F.col("id").alias("chunk_id"), "content_hash")
+    known = files.where("content_hash is not null").select("content_hash")
+    text = chunks.select(F.col("id").alias("chunk_id"), "ordinal", "text", "heading_path")
     if compat_escalate:
         for k in (knn_k(limit), MOST_K):
-            near = knn(own, query, k).select("chunk_id", "distance").join(text, "chunk_id").join(live.select("content_hash").distinct(), "content_hash", "left_semi")
-            best = collapse_best(near, limit)
-            if k == MOST_K or best.count() >= limit:
-                return with_places(best, files).orderBy("distance", "chunk_id")
-    mine = own.join(live.select(F.col("id").alias("chunk_id"), "content_hash"), "chunk_id")
-    # Best chunk of each content first: the fold needs no over-fetch, and its rows are ids and distances only.
-    q = F.array(*(F.lit(float(x)) for x in query))
-    d = mine.select("chunk_id", "content_hash", cosine_distance(F.col("embedding"), q).alias("distance")).where("distance is not null")
-    first = d.groupBy("content_hash").agg(F.min(F.struct("distance", "chunk_id")).alias("b")).select("content_hash", "b.distance", "b.chunk_id")
-    top = first.orderBy("distance", "chunk_id").limit(limit)
-    best = text.drop("content_hash").join(F.broadcast(top), "chunk_id")
+            some = near.orderBy("distance", "chunk_id").limit(k).join(ids, "chunk_id").join(known, "content_hash", "left_semi")
+            top = collapse_best(some, limit)
+            if k == MOST_K or top.count() >= limit:
+                break
+    else:
+        mine = near.join(ids.join(known, "content_hash", "left_semi"), "chunk_id")
+        # Best chunk of each content first: the fold needs no over-fetch.
+        first = mine.groupBy("content_hash").agg(F.min(F.struct("distance", "chunk_id")).alias("b")).select("content_hash", "b.distance", "b.chunk_id")
+        top = first.orderBy("distance", "chunk_id").limit(limit)
+    # At most MOST_K rows: texts are looked up for the hits only.
+    best = text.join(F.broadcast(top.limit(MOST_K)), "chunk_id")
     return with_places(best, files).orderBy("distance", "chunk_id")
