@@ -61,3 +61,22 @@ def test_short_passage_as_a_whole():
     ix = PassageIndex([(7, "The crooked slate wall measured 712 crates around the ninth map.")])
     assert len(ix.scan("He wrote: a croked slate wall measured 712 crates about a ninth map. Then no more.")) == 1
     assert ix.scan("The crooked slate wall measured 713 crates around the ninth map.") == []
+
+
+def test_every_copy_in_a_document_is_found_and_removed(spark):
+    d = spark.createDataFrame([(1, f"Start. {P} Middle. {P} End.", "k")], "doc_id long, text string, run string")
+    p = spark.createDataFrame([(7, P)], "item_id long, text string")
+    leaks = find_leaks(d, p)
+    assert sorted(r["run"] for r in leaks.collect()) == [0, 1]
+    text = remove_leaks(d, leaks).first()["text"]
+    assert "slate" not in text and text.startswith("Start. ") and "Middle." in text and text.endswith(" End.")
+
+
+def test_passages_of_small_words():
+    small = "It was for us to be with them and not to be without you or me."
+    ix = PassageIndex([(7, small), (8, P)])
+    hit = ix.scan(f"He said: {small.upper()} And then he left. {P}")
+    assert [h[:2] for h in hit] == [(7, 0), (8, 0)]
+    assert ix.scan("It was for us to be with them.") == []
+    assert ix.scan("It was for us to be with them and not to be there at all.") != []  # twelve words in a row
+    assert PassageIndex([(9, "To be or not")]).scan("He asked: to be or not?") != []

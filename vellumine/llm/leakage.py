@@ -87,9 +87,16 @@ class PassageIndex:
                     self.grams[hash((gap, c[i], c[i + gap]))].append((key, i))
         self.items = [i for i, _ in rows]
         self.grams = dict(self.grams)
+        # Stretches that are long enough but have too few content words for an alignment: looked up as they are.
+        self.plain: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for key, w in self.words.items():
+            size = min(least, len(w))
+            for i in range(len(w) - size + 1 if w else 0):
+                if sum(x not in SMALL for x in w[i : i + size]) < n:
+                    self.plain.setdefault(size, {}).setdefault(hash(tuple(w[i : i + size])), []).append((key, i))
 
-    def scan(self, text: str) -> list[tuple[int, int, int, int]]:
-        """``(item, first char, end char, words of the passage covered)`` of every passage held."""
+    def scan(self, text: str) -> list[tuple[int, int, int, int, int]]:
+        """``(item, number of the run, first char, end char, words of the passage covered)`` of every run of every passage held, the longest of an item first."""
         if not text:
             return []
         raw = _TOKEN.findall(text)
@@ -104,9 +111,17 @@ class PassageIndex:
                     w, pat = self.words[key], self.content[key]
                     if a == w[pat[j]] and b == w[pat[j + gap]]:
                         seeds[key].append((i, j, gap))
-        if not seeds:
+        runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for size, known in self.plain.items():
+            for i in range(len(words) - size + 1):
+                for key, j in known.get(hash(tuple(words[i : i + size])), ()):
+                    if words[i : i + size] == self.words[key][j : j + size]:
+                        z = size
+                        while i + z < len(words) and j + z < len(self.words[key]) and words[i + z] == self.words[key][j + z]:
+                            z += 1
+                        runs[key].append((z, i, i + z - 1))
+        if not seeds and not runs:
             return []
-        best: dict[int, tuple[int, int, int]] = {}
         for key, found in seeds.items():
             total = len(self.words[key])
             need = min(self.least, total)
@@ -117,12 +132,19 @@ class PassageIndex:
                 pairs = self._extend(c, key, i, j, gap)
                 done.update(pairs)
                 run = self._span(words, at, key, pairs)
-                if run and run[0] >= need and run[0] > best.get(key, (0, 0, 0))[0]:
-                    best[key] = run
-        if not best:
+                if run and run[0] >= need:
+                    runs[key].append(run)
+        if not runs:
             return []
         spans = [m.span() for m in _TOKEN.finditer(text)]
-        return [(self.items[k], spans[a][0], spans[b][1], covered) for k, (covered, a, b) in sorted(best.items())]
+        out = []
+        for key in sorted(runs):
+            kept: list[tuple[int, int, int]] = []
+            for covered, a, z in sorted(set(runs[key]), key=lambda r: (-r[0], r[1], r[2])):
+                if all(z < b or a > y for _, b, y in kept):  # other alignments of the same words are the same run
+                    kept.append((covered, a, z))
+            out += [(self.items[key], n, spans[a][0], spans[z][1], covered) for n, (covered, a, z) in enumerate(kept)]
+        return out
 
     def _extend(self, c: list[str], key: int, i: int, j: int, gap: int) -> list[tuple[int, int]]:
         """Aligned content words around a seed: equal or misspelt words, single other words in between."""
@@ -190,11 +212,14 @@ def find_leaks(
     n: int = 3,
     block_words: int = 200_000,
 ) -> DataFrame:
-    """``(doc_id, item_id, start_char, end_char, words)``: each document with each passage it holds, wholly or for ``least_words`` words.
+    """``(doc_id, item_id, run, start_char, end_char, words)``: each place in a document that holds a passage, wholly or for ``least_words`` words.
+
+    ``run`` numbers the places of an item in a document from 0, the longest first.
 
     The passages are the stated query set: they are read to the driver in blocks of at most
     ``block_words`` words (about 40 MB of index), and every block is compared with all documents.
-    A passage shorter than ``least_words`` counts only as a whole, and only if ``n`` of its content words are aligned.
+    A passage shorter than ``least_words`` counts only as a whole. Stretches with fewer than ``n`` content words have
+    to stand as they are, word by word.
     Passages or documents that are null or empty give no rows; a null id is kept; repeated document rows are
     reported once for each; repeated items likewise.  Columns other than those named are not read.
     """
@@ -202,7 +227,7 @@ def find_leaks(
     docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull() & (F.col("_t") != ""))
     kind = dict(documents.dtypes)[id_col]
     item_kind = dict(passages.dtypes)[item_col]
-    schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, start_char long, end_char long, words int"
+    schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, run int, start_char long, end_char long, words int"
     out: DataFrame | None = None
 
     def flush(rows: list[tuple[int, str]]) -> DataFrame:
@@ -212,7 +237,7 @@ def find_leaks(
             own = PassageIndex(index.value, n, least_words)  # built in the worker: string hashes differ between processes
             for b in batches:
                 hits = [(i, *h) for i, t in zip(b["_id"], b["_t"]) for h in own.scan(t)]
-                yield pd.DataFrame(hits, columns=[id_col, item_col, "start_char", "end_char", "words"])
+                yield pd.DataFrame(hits, columns=[id_col, item_col, "run", "start_char", "end_char", "words"])
 
         return spread(docs).mapInPandas(scan, schema)
 
@@ -233,7 +258,7 @@ def find_leaks(
 def remove_leaks(documents: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_documents: bool = False) -> DataFrame:
     """``documents`` without the leaked spans, or without the documents that have any (``whole_documents``).
 
-    ``documents`` must have one row per id. Overlapping spans are cut once; other columns stay as they are.
+    All runs of all items are cut, overlapping ones once. ``documents`` must have one row per id; other columns stay as they are.
     """
     if whole_documents:
         return documents.join(leaks.select(id_col).distinct(), id_col, "left_anti").select(documents.columns)

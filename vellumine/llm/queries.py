@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm.encoding import garbled_ids, repair_and_restore
-from vellumine.llm.leakage import find_leaks
+from vellumine.llm.leakage import find_leaks, remove_leaks
 from vellumine.llm.markup import clean_markup, markup_found
 from vellumine.llm.mixing import mix
 from vellumine.llm.neighbours import similar_pairs, similar_vectors
@@ -55,7 +55,14 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")).select("doc_id", "item_id")
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")).where("run = 0").select("doc_id", "item_id")
+
+
+def p6_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the leaked spans; ``cut_chars`` tells how much is gone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("before"))
+    left = remove_leaks(docs, find_leaks(docs, table(spark, sf_dir, "eval_passages")))
+    return left.select("doc_id", "text", (F.col("before") - F.length("text")).cast("long").alias("cut_chars"))
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
         "p6_found": p6_found,
+        "p6_removed": p6_removed,
         "p7_mixture": p7_mixture,
         "p7_shares": p7_shares,
         "p8_found": p8_found,
