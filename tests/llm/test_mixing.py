@@ -1,9 +1,19 @@
 import math
 
-from vellumine.llm.mixing import count_tokens, mix, running_sum
+from vellumine.llm import mixing
+from vellumine.llm.mixing import running_sum
+from vellumine.llm.queries import TOKENIZER
 from pyspark.sql import functions as F
 
 
+def mix(docs, targets, **how):
+    return mixing.mix(docs, targets, TOKENIZER, **how)
+
+
+def count_tokens(*args):
+    return mixing.count_tokens(*args, TOKENIZER)
+
+
 def corpus(spark):
     sizes = {"big": 400, "small": 40, "Small ": 20, "rest": 300, None: 30, "other": 50}
     rows = [(1000 * k + i, f"{'word ' * (5 + i % 7)}", s, "x") for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
@@ -33,6 +43,13 @@ def test_shares_and_repeats(spark):
     assert rep["absent"]["tokens"] == 0 and abs(rep["big"]["actual_share"] - share["big"]) < 1e-9
 
 
+def test_many_buckets_give_a_sound_mixture(spark):
+    rows = mix(corpus(spark), targets(spark), block_tokens=40, bucket_rows=8)[0].collect()
+    total = sum(r["n_tokens"] for r in rows)
+    assert abs(sum(r["n_tokens"] for r in rows if r["source"] == "big") / total - 5 / 9) < 0.06
+    assert len({(r["doc_id"], r["epoch"]) for r in rows}) == len(rows)
+
+
 def test_every_prefix_is_mixed(spark):
     rows = sorted(mix(corpus(spark), targets(spark), block_tokens=40)[0].collect(), key=lambda r: (r["slot"], r["place"]))
     half = rows[: len(rows) // 2]

@@ -2,9 +2,9 @@ import random
 
 import pytest
 
-from vellumine.llm.pieces import split_files, split_oversized
+from vellumine.llm.pieces import _Range, apply_summary, fence_lines, fence_summary, split_files, split_oversized, step_fence
 
-ALPHABET = ["word ", "Satz. ", "\n", "\n\n", "é", "e\u0301", "👨‍👩‍👧", "🇮🇪", "文字。", "| a | b |\n", "```\n", "# Head\n", "x" * 50]
+ALPHABET = ["word ", "Satz. ", "\n", "\n\n", "é", "e\u0301", "👨‍👩‍👧", "🇮🇪", "文字。", "| a | b |\n", "```\n", "~~~~\n", "```` x\n", "# Head\n", "x" * 50]
 
 
 def check(text: str, heading: str, rows: list, base: int, limit: int, overlap: int) -> None:
@@ -57,3 +57,29 @@ def test_files(spark, tmp_path):
     f = spark.createDataFrame([(str(p), p.stat().st_size)], "path string, size long")
     out = split_files(spark, f, step=20_000).collect()
     check(text, "", out, 0, 4096, 256)
+
+
+def test_fences_are_stitched_like_one_pass():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice(["a\n", "```\n", "````\n", "~~~\n", "~~~~~\n", "``` py\n", "~~~ `x`\n", "``` a`b\n", "    ```\n", "x ```\n"]) for _ in range(40)).encode()
+        lines = fence_lines(text, 0, 0, len(text))
+        state, at = None, {}
+        for f in lines:
+            at[f.at] = state
+            state = step_fence(state, f)
+        edges = sorted(rng.sample(range(len(text)), 3))
+        got = None
+        for a, z in zip([0, *edges], [*edges, len(text)]):
+            part = fence_lines(text, 0, a, z)
+            assert not part or at[part[0].at] == got
+            got = apply_summary(got, fence_summary(part))
+        assert got == state
+
+
+def test_other_fence_inside_code_and_open_fence():
+    prose = "One line of prose.\n\nAnother one.\n\n"
+    text = f"```\ncode\n~~~\nmore\n\ncode\n```\n{prose}"
+    r = _Range(text.encode(), 0, None, 0)
+    level = lambda s: int(r.level[text.index(s)])
+    assert level("Another") == 6 and level("code\n```\nOne") == 3

@@ -20,7 +20,6 @@ from pyspark.sql.window import Window
 
 from vellumine.runtime import cut, spread
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 GOLDEN = 0.6180339887498949
 #: Words, numbers and signs are split as byte-level BPE vocabularies expect it.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -38,7 +37,7 @@ def _encoder(path: str):
     return _encoders[path]
 
 
-def count_tokens(docs: DataFrame, keep: list[str], text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
+def count_tokens(docs: DataFrame, keep: list[str], text_col: str, tokenizer: str) -> DataFrame:
     """``keep`` and ``n_tokens``; null texts have none. The vocabulary file must lie at the same path on all workers."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,14 +69,14 @@ def source_name(c: Column) -> Column:
 def mix(
     documents: DataFrame,
     targets: DataFrame,
+    tokenizer: str,
     total_tokens: int | None = None,
     block_tokens: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    tokenizer: str = TOKENIZER,
     seed: int = 11,
-    buckets: int = 256,
+    bucket_rows: int = 65_536,
 ) -> tuple[DataFrame, DataFrame]:
     """``(mixture, report)``.
 
@@ -85,7 +84,7 @@ def mix(
     read in the order of (slot, place). report: ``(source, target_share, actual_share, tokens, documents,
     repeats, max_repeats)`` for every target and every source of the documents.
 
-    Sources are compared without case and outer blanks. Without ``total_tokens`` the mixture is as large as all
+    ``tokenizer`` is the path of a tiktoken vocabulary file, the same on all workers. Sources are compared without case and outer blanks. Without ``total_tokens`` the mixture is as large as all
     targets can be met exactly within ``max_repeats``; with it, sources that run out give less than their share.
     Targets without documents, or with a share or repeats of 0 or null, give nothing, and the others share in
     proportion; documents without a target source, with null ids or without tokens are left out and reported.
@@ -116,8 +115,10 @@ def mix(
     rows = [(s, min(m, int((z - a) * total // t) + 2), t) for s, a, z, m, t in edges]
     epochs = spark.createDataFrame(rows, "source string, epochs int, t long")
     used = sized.where("n_tokens > 0").join(F.broadcast(epochs), "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
+    # As many buckets as leave ``bucket_rows`` rows of the largest source in each, so that no window grows with the data.
+    buckets = 1 << max(0, (max((r["n"] for r in plan), default=1) // bucket_rows)).bit_length()
     h = F.xxhash64(F.lit(seed), F.col("epoch"), F.col("d"))
-    bucket = F.col("epoch") * buckets + F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(buckets - 1)).cast("int")
+    bucket = F.col("epoch") * buckets + F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(buckets - 1))
     placed = running_sum(used, "source", F.struct(h, F.col("d")), bucket, "n_tokens", "start")
     blocks = placed.select("source", "d", "epoch", "n_tokens", F.floor(F.col("start") / block).alias("rank"), (F.col("start") % block).alias("place"))
     point = (F.col("id") * F.lit(GOLDEN)) % F.lit(1.0)

@@ -1,9 +1,10 @@
 """Items over a size limit, cut into overlapping pieces at natural boundaries, by byte ranges.
 
 Plan: an oversized item is spread over ranges of some 64 KB with halos on both
-sides, so that no worker holds a whole item.  A first pass counts the fence
-lines of each range; their running sum, a table of one row for each range, says
-whether a range begins inside code.  The second pass finds the boundaries of its
+sides, so that no worker holds a whole item.  A first pass tells for each range
+what its fence lines do to the open fence it begins with; put together in
+order, a table of two short rows for each range, they say which fence is open
+where a range's halo begins.  The second pass finds the boundaries of its
 range, starts at the best boundary near the range's beginning (its neighbour
 finds the same one through its halo) and emits pieces by offset.  Running sums
 of the pieces in each range number them.
@@ -13,10 +14,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import regex
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +27,7 @@ from pyspark.sql.window import Window
 from vellumine.runtime import cut
 
 LIMIT, OVERLAP, RANGE = 4096, 256, 65_536
-_FENCE = re.compile(rb"(?m)^ {0,3}(?:```|~~~)")
+_FENCE = re.compile(rb"(?m)^ {0,3}(`{3,}|~{3,})([^\n]*)")
 _LEVELS = [
     (6, re.compile(r"\n[ \t\r]*\n[\s]*")),
     (6, re.compile(r"\n(?=#{1,6}[ \t])")),
@@ -36,10 +39,70 @@ _LEVELS = [
 _CLUSTER = regex.compile(r"\X")
 
 
+class Fence(NamedTuple):
+    """A fence line: its byte offset, its sign and how often that stands there, whether it may open or close."""
+
+    at: int
+    sign: str
+    size: int
+    opens: bool
+    closes: bool
+
+
+Open = tuple[str, int] | None  # the sign and size of the fence that is open
+
+
+def fence_lines(raw: bytes, at: int, start: int, stop: int) -> list[Fence]:
+    """The fence lines that begin in [start, stop) of the item of which ``raw`` stands at ``at``."""
+    out = []
+    for m in _FENCE.finditer(raw):
+        if start <= m.start() + at < stop:
+            mark, rest = m[1].decode(), m[2]
+            out.append(Fence(m.start() + at, mark[0], len(mark), not (mark[0] == "`" and b"`" in rest), not rest.strip()))
+    return out
+
+
+def step_fence(state: Open, f: Fence) -> Open:
+    """What is open after a fence line: a fence is closed by a bare one of its own sign that is no shorter."""
+    if state is None:
+        return (f.sign, f.size) if f.opens else None
+    return None if f.closes and f.sign == state[0] and f.size >= state[1] else state
+
+
+def fence_summary(lines: list[Fence]) -> list[tuple[str, int, str, int]]:
+    """``(sign, most, sign after, size after)``: what is open after the lines, for every fence that may be open before.
+
+    A row holds for open fences of its sign of up to ``most``; the row of no sign for none open. Larger ones stay open.
+    """
+
+    def run(lines: list[Fence]) -> tuple[str, int]:
+        state: Open = None
+        for f in lines:
+            state = step_fence(state, f)
+        return state or ("", 0)
+
+    out = [("", 0, *run(lines))]
+    for sign in "`~":
+        longest = 0
+        for i, f in enumerate(lines):
+            if f.sign == sign and f.closes and f.size > longest:
+                out.append((sign, f.size, *run(lines[i + 1 :])))
+                longest = f.size
+    return out
+
+
+def apply_summary(state: Open, summary: list) -> Open:
+    sign, size = state or ("", 0)
+    for own, most, after, n in summary:
+        if own == sign and size <= most:
+            return (after, int(n)) if after else None
+    return state
+
+
 class _Range:
     """The decoded slice of a range: places that may be cut, by byte offset in the item."""
 
-    def __init__(self, raw: bytes, at: int, fenced: bool, start: int):
+    def __init__(self, raw: bytes, at: int, state: Open, start: int):
         skip = 0
         while skip < min(4, len(raw)) and raw[skip] & 0xC0 == 0x80:
             skip += 1
@@ -55,13 +118,13 @@ class _Range:
         for m in re.finditer(r"(?m)^[ \t]*\|[^\n]*\n(?=[ \t]*\|)", self.text):  # between rows of a table
             level[m.end()] = min(level[m.end()], 3)
         # Inside fences every level falls by three, so that code is cut only where nothing else will do.
-        inside = fenced
-        before = [m.start() + at for m in _FENCE.finditer(raw)]
-        early = [b for b in before if b < start]
-        if len(early) % 2:
-            inside = not inside
-        edges = [int(np.searchsorted(self.byte, b)) for b in before]
-        last = 0
+        last, inside = 0, state is not None
+        edges: list[int] = []
+        for f in fence_lines(raw, at, start, at + len(raw)):
+            after = step_fence(state, f)
+            if (after is None) != (state is None):
+                edges.append(int(np.searchsorted(self.byte, f.at)))
+            state = after
         for e in [*edges, len(level)]:
             if inside:
                 level[last + 1 : e] = np.where(level[last + 1 : e] > 1, np.maximum(1, level[last + 1 : e] - 3), level[last + 1 : e])
@@ -141,30 +204,41 @@ def _ranges(size: Column, step: int) -> Column:
 
 
 def _emit(ranges: DataFrame, limit: int, overlap: int, step: int, halo: int, id_type: str) -> DataFrame:
-    """Pieces of ranges (i, r, size, base, heading, low, raw)."""
+    """Pieces of ranges (i, n, r, size, base, heading, low, raw); ``raw`` stands at ``low``, a byte before the halo."""
 
-    def toggles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n = [sum(1 for m in _FENCE.finditer(raw) if r <= m.start() + low < r + step) for raw, r, low in zip(b["raw"], b["r"], b["low"])]
-            yield pd.DataFrame({"n": b["n"], "r": b["r"], "f": np.asarray(n, np.int32)})
+            rows = []
+            for n, r, low, raw in zip(b["n"], b["r"], b["low"], b["raw"]):
+                for a, z in ((r, r + step - halo), (r + step - halo, r + step)):  # the halo of the range after this begins between them
+                    s = fence_summary(fence_lines(raw, low, a, z))
+                    rows.append((n, r, a, *([x[k] for x in s] for k in range(4))))
+            yield pd.DataFrame(rows, columns=["n", "r", "a", "s", "m", "t", "k"])
+
+    def states(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        """The fence that is open where the halo of each range begins; some bytes for each 64 KB of the item."""
+        state: Open = None
+        out = []
+        for a, s, m, t, k in parts.drop_duplicates("a").sort_values("a")[["a", "s", "m", "t", "k"]].itertuples(index=False):
+            if a % step:
+                out.append((key[0], a + halo, state[0] if state else "", state[1] if state else 0))
+            state = apply_summary(state, list(zip(s, m, t, k)))
+        return pd.DataFrame([(key[0], 0, "", 0), *out], columns=["n", "r", "sign", "open"])
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, n, r, size, base, heading, low, raw, fences in zip(b["i"], b["n"], b["r"], b["size"], b["base"], b["heading"], b["low"], b["raw"], b["fences"]):
+            for i, n, r, size, base, heading, low, raw, sign, fence in zip(b["i"], b["n"], b["r"], b["size"], b["base"], b["heading"], b["low"], b["raw"], b["sign"], b["open"]):
                 path = shorten_heading(heading or "", limit // 2)
                 budget = limit - len(path.encode())
-                g = _Range(raw, low, bool(int(fences) % 2), r)
+                g = _Range(raw, low, (sign, int(fence)) if sign else None, max(0, r - halo))
                 for j, (a, z) in enumerate(cuts(g, r, min(size, r + step), size, budget, overlap)):
                     rows.append((i, n, r, j, raw[a - low : z - low].decode("utf-8", "replace"), path, base + a, base + z))
             yield pd.DataFrame(rows, columns=["i", "n", "r", "j", "text", "heading_path", "byte_start", "byte_end"])
 
-    key = ["n", "r"]
-    fence = ranges.select(*key, "low", "raw").mapInPandas(toggles, "n string, r long, f int").distinct()
-    # One row for each range: the fence lines before it, by a running sum.
-    before = F.coalesce(F.sum("f").over(Window.partitionBy("n").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    fences = fence.select(*key, before.alias("fences"))
-    return ranges.join(fences, key).mapInPandas(emit, f"i {id_type}, n string, r long, j int, text string, heading_path string, byte_start long, byte_end long")
+    parts = ranges.select("n", "r", "low", "raw").mapInPandas(summarise, "n string, r long, a long, s array<string>, m array<long>, t array<string>, k array<long>")
+    before = parts.groupBy("n").applyInPandas(states, "n string, r long, sign string, open long")
+    return ranges.join(before, ["n", "r"]).mapInPandas(emit, f"i {id_type}, n string, r long, j int, text string, heading_path string, byte_start long, byte_end long")
 
 
 def split_oversized(
@@ -189,6 +263,7 @@ def split_oversized(
     """
     kind = dict(items.dtypes)[id_col]
     halo = limit + 1024
+    step = max(step, 2 * halo)
     text, heading = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(heading_col), F.lit(""))
     size = F.octet_length(text).cast("long")
     base = F.coalesce(F.col(start_col), F.lit(0)).cast("long") if start_col else F.lit(0).cast("long")
@@ -196,7 +271,7 @@ def split_oversized(
     # n tells rows apart that bear the same id, and is never null
     big = big.select(F.col(id_col).alias("i"), F.concat_ws(":", F.hex(F.xxhash64(text, heading, base)), F.col(id_col).cast("string")).alias("n"), text.cast("binary").alias("b"), heading.alias("heading"), base.alias("base"), size.alias("size"))
     ranges = big.select("i", "n", "b", "heading", "base", "size", _ranges(F.col("size"), step).alias("r"))
-    low = F.greatest(F.col("r") - halo, F.lit(0))
+    low = F.greatest(F.col("r") - halo - 1, F.lit(0))
     slice_ = F.substring(F.col("b"), (low + 1).cast("int"), (F.col("r") + step + halo - low).cast("int"))
     ranges = ranges.select("i", "n", "r", "size", "base", "heading", low.alias("low"), slice_.alias("raw"))
     return _numbered(_emit(ranges, limit, overlap, step, halo, kind), big.where("size = 0"), id_col, limit)
@@ -215,18 +290,22 @@ def _numbered(pieces: DataFrame, bare: DataFrame | None, id_col: str, limit: int
 
 
 def split_files(spark: SparkSession, files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, step: int = RANGE) -> DataFrame:
-    """The same for UTF-8 files ``(path, size)`` in a folder that all workers see: each range is read by offset, no file as a whole."""
+    """The same for UTF-8 files ``(path, size)``: each range is read by offset, no file as a whole.
+
+    ``path`` is a path that all workers see, or the address of a file system that Arrow reads (HDFS and object stores).
+    """
     halo = limit + 1024
+    step = max(step, 2 * halo)
     ranges = files.where(F.col("size") > limit).select(F.col("path").alias("i"), F.col("path").alias("n"), F.col("size").cast("long").alias("size"), _ranges(F.col("size"), step).alias("r"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raws, lows = [], []
             for path, r in zip(b["i"], b["r"]):
-                low = max(0, r - halo)
-                with open(path, "rb") as f:
-                    f.seek(low)
-                    raws.append(f.read(r + step + halo - low))
+                low = max(0, r - halo - 1)
+                fs, name = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+                with fs.open_input_file(name) as f:
+                    raws.append(f.read_at(r + step + halo - low, low))
                 lows.append(low)
             yield b.assign(base=np.int64(0), heading="", low=lows, raw=raws)
 
