@@ -76,3 +76,31 @@ def test_context_speaks_for_a_doubtful_mark():
 
 def test_sure_and_overruled_marks_in_one_text():
     assert clean('<b>Log</b>: {"pump": {"state": "off"}}') == ('Log: {"pump": {"state": "off"}}', ["html"])
+
+
+def test_the_cut_overrules_the_classifier_among_close_neighbours():
+    from vellumine.llm.markup import _cut, _features, _log_odds, _marks
+
+    def labels(text):
+        marks = _marks(text)
+        return [(text[m.start : m.end], o > 0, k) for m, o, k in zip(marks, (_features(marks, text) @ _log_odds()).tolist(), _cut(marks, text))]
+
+    close = {m: (own, kept) for m, own, kept in labels("<b>a</b><x><i>b</i>")}
+    apart = {m: (own, kept) for m, own, kept in labels("<b>a</b> and then, a good deal of words later, <x> and as many words again <i>b</i>")}
+    assert close["<x>"] == (False, True) and apart["<x>"] == (False, False)
+
+
+def test_what_only_looks_like_markup_is_kept():
+    for text in ("write to <address> or <name> now", "from $20 to 30$ in all", "it lies in C:\\notes\\textbooks\\8", "see [1][2]", "List<String> of R&Dx; and Q&Ab"):
+        assert clean(text) == (text, [])
+
+
+def test_long_constructs_and_many_marks():
+    import time
+
+    word = "word " * 1000
+    assert clean(f"a [[Page|{word.strip()}]] b")[1] == ["wiki"] and clean(f"a {{{{cite|{word}}}}} b") == ("a  b", ["wiki"])
+    assert clean(f"so $${word}= 1$$ it is")[1] == ["latex"] and clean(f"x[^{'n' * 90}] y")[1] == ["markdown"]
+    began = time.perf_counter()
+    text, found = clean("<b>a</b> of " * 4000)
+    assert found == ["html"] and "<" not in text and time.perf_counter() - began < 20

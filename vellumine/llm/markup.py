@@ -90,9 +90,9 @@ _HTML_TAG = re.compile(r"<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)\b(?P<rest>
 _HTML_OTHER = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<!\[CDATA\[|<!(?i:doctype)\b[^>]*>?|<\?xml\b[^>]*>?|(?<![<!-])-->")
 _ENTITY = re.compile(r"&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)")
 _WIKI = [
-    ("link", re.compile(r"\[\[[^\[\]\n]{1,400}(?:\[\[[^\[\]\n]*\]\][^\[\]\n]*)*(?:\]\]|$)", re.M), 5.0),
+    ("link", re.compile(r"\[\[[^\[\]\n]++(?:\[\[[^\[\]\n]*\]\][^\[\]\n]*)*(?:\]\]|$)", re.M), 5.0),
     ("linkend", re.compile(r"(?<![\]\w])\]\]|\]\](?!\])"), 2.0),
-    ("template", re.compile(r"\{\{\{?[^{}]{1,2000}\}?\}\}|\{\{[#A-Za-z][^{}\n]*"), 5.0),
+    ("template", re.compile(r"\{\{\{?[^{}]++\}?\}\}|\{\{[#A-Za-z][^{}\n]*"), 5.0),
     ("templateend", re.compile(r"(?m)^[ \t]*\}\}|\}\}"), 1.5),
     ("table", re.compile(r"(?m)^[ \t]*\{\|[^\n]*|^[ \t]*\|\}|^[ \t]*\|-+[ \t]*(?:[A-Za-z][^\n|]*)?$|^[ \t]*\|\+[^\n]*"), 5.0),
     ("cell", re.compile(r"(?<=\S)[ \t]+\|\|[ \t]+(?=\S)"), 1.2),
@@ -104,8 +104,8 @@ _WIKI = [
 ]
 _LATEX = [
     ("env", re.compile(r"\\(?:begin|end)[ \t]*\{[A-Za-z]+\*?\}?(?:\[[^\]\n]*\])?(?:\{[lcrp|@ .\d]*\})?"), 6.0),
-    ("display", re.compile(r"(?s)\\\[.+?(?:\\\]|\Z)|\\\(.+?(?:\\\)|\Z)|\$\$(?!\$).{1,2000}?\$\$"), 6.0),
-    ("math", re.compile(r"(?<![\\$\w])\$(?=[^\s$])(?:[^$\n\\]|\\.){1,300}?(?<=[^\s\\])\$(?![\d\w$])"), 4.0),
+    ("display", re.compile(r"(?s)\\\[.+?(?:\\\]|\Z)|\\\(.+?(?:\\\)|\Z)|\$\$(?!\$)(?:(?!\n[ \t]*\n).)+?\$\$"), 6.0),
+    ("math", re.compile(r"(?<![\\$\w])\$(?=[^\s$])(?:[^$\n\\]|\\.)+?(?<=[^\s\\])\$(?![\d\w$])"), 4.0),
     ("section", re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?[ \t]*\{"), 6.0),
     ("item", re.compile(r"\\item\b(?:\[[^\]\n]*\])?[ \t]*"), 6.0),
     ("drop", re.compile(r"\\(?:cite[tp]?|ref|eqref|label|pageref|index|vspace|hspace|usepackage|documentclass|bibliography|bibliographystyle|input|include|includegraphics|autoref|cref)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}?"), 6.0),
@@ -123,7 +123,7 @@ _MD = [
     ("reflink", re.compile(r"(?<![\[\w\]])\[([^\[\]\n^]+)\]\[([^\[\]\n]*)\]"), 3.5),
     ("refdef", re.compile(r"(?m)^[ ]{0,3}\[(?!\^)[^\]\n]+\]:[ \t]*<?(?:https?://|/|\.|mailto:|#|\w+\.)[^\n]*$"), 6.0),
     ("notedef", re.compile(r"(?m)^[ ]{0,3}\[\^[^\]\s]+\]:[ \t]*"), 6.0),
-    ("note", re.compile(r"\[\^[^\]\s]{1,60}\]"), 6.0),
+    ("note", re.compile(r"\[\^[^\]\s]+\]"), 6.0),
     ("auto", re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+|[\w.+-]+@[\w-]+\.[\w.-]+)>"), 4.0),
 ]
 _EMPH = [
@@ -136,6 +136,15 @@ _EMPH = [
     ("emcjk", re.compile(r"(?<![*\x21-\x7e\\])\*(?=[^\s*\d])([^\n*`]+?)(?<=[^\s*])\*(?![*\x30-\x7a])"), 1),
     ("emu", re.compile(r"(?<![\w\\])_(?=[^\s_])([^\n_`]+?)(?<=[^\s_])_(?!\w)"), 1),
 ]
+# What only looks like a mark, or is one that no standard names: the classifier and the cut decide.
+_DOUBTFUL = [
+    ("html", "name", re.compile(r"</?[A-Za-z][\w-]*\s*/?>")),
+    ("html", "amp", re.compile(r"&[A-Za-z][A-Za-z0-9]{1,31};?")),
+    ("latex", "money", re.compile(r"(?<![\\$\w])\$(?=[^\s$])[^$\n]+?(?<=\S)\$(?![\d\w$])")),
+    ("latex", "path", re.compile(r"\\[A-Za-z]{2,}")),
+    ("markdown", "numbers", re.compile(r"\[[^\[\]\n]+\]\[[^\[\]\n]*\]")),
+]
+_DOUBTS = frozenset(kind for _, kind, _ in _DOUBTFUL)
 MAYBE = r"[<&\\$*_~{}\[\]=]|''|-->|\|\||\|-"
 
 
@@ -287,6 +296,21 @@ def _marks(text: str) -> list[Mark]:
                 for s in (a, z - width):
                     out.append(Mark(s, s + width, "markdown", kind, 2.5 if width > 1 else 1.5, "", pairs))
                     block(s, s + width)
+    names: dict[str, list[int]] = {}
+    for dialect, kind, p in _DOUBTFUL:
+        for m in p.finditer(text):
+            if not free(*m.span()):
+                continue
+            g, pair = m.group(), 0
+            if kind == "name":
+                name = g.strip("</ >")
+                if g.startswith("</") and names.get(name):
+                    pair = names[name].pop()
+                elif not g.startswith("</"):
+                    pairs += 1
+                    pair = pairs
+                    names.setdefault(name, []).append(pair)
+            add(m, dialect, kind, 0.5, g if kind in ("money", "amp") else g[1:].partition("]")[0] if kind == "numbers" else "", pair=pair)
     out.sort()
     return out
 
@@ -297,11 +321,14 @@ _SAMPLE_MARKUP = (
     "**Due** on Monday", "It was *never* paid", "the _red_ key", "[form](https://x.example/a) sent", "~~gone~~ and __kept__", "(*maybe*) later", "*a* = 1; *b* = 2",
     "[[Key|the key]] of [[Hall]]", "'''Bold''' and ''slanted'' words", "{{cite|a=b|c=d}}", "lost its head]] and went on [sic]", "tail of a template}} and {more} words", "| year = 1950\n}}\nIt was built", "{| class=wikitable\n|-\n| oak || elm\n| ash || fir\n|}",
     "| oak || elm || ash", "| 12 || 15", "! Year || Cost\n|-\n| 1 || 2", "see the hall]] (now closed) in [[Eskton]]", "|name=x|size=9}} was cited",
+    "<p><item>Milk</item></p>", "<ul><entry>old key</entry><entry>new key</entry></ul>", "<b>Due</b> <note>soon</note> <i>now</i>",
     "\\textbf{Next} to \\emph{it}", "so $x^2 = 4$ holds", "a rate \\alpha of growth", "\\begin{itemize}\n\\item one\n\\end{itemize}", "50\\% off, \\$5", "\\noindent The key", "with \\lambda = 3 and \\mu = 4",
 )
 _SAMPLE_CONTENT = (
     'the answer was {"a": {"b": 1}}', 'it sent {"id": 7, "at": {"x": 3, "y": 4}}', "f = {k: {v: 2}}", "use map(x => { return { y: x }})", '{"user":{"name":"Ann"}} came back',
     "take m[idx[3]] first", "x = a[b[0]] + c[d[1]]", "rows[order[k]] = 5;", "the list [1, [2, 3]] has two", "v = [[1, 2], [3, 4]][n[0]]",
+    "use <name> or <path> here", "a List<String> of it", "from <start> to <end>", "Map<Key> m", "write to <address>", "R&D; and AT&T", "A&B;", "Q&A here",
+    "it cost $5 or $6$ each", "from $20 to 30$ in all", "pay $9, get 3$ back", "in C:\\temp\\new files", "see D:\\old\\keys", "the share \\\\host\\folder", "see [1][2] and [3][4]", "m[4][5] and n[1][2]",
     "if (done || late) stop", "while (a || b) { wait(); }", "ok = x || y;", "return left || right", "test -f key || exit 1", "run(a) || fail(b)", "when p || q holds then r",
 )
 _CODE_SIGNS = frozenset("=;(){}[]\"<>+:,")
@@ -309,7 +336,7 @@ _CODE_SIGNS = frozenset("=;(){}[]\"<>+:,")
 
 def _features(marks: list[Mark], text: str) -> np.ndarray:
     """A row for each mark: the shape of its own and what stands around it."""
-    out = np.zeros((len(marks), 10))
+    out = np.zeros((len(marks), 11))
     partners: dict[int, int] = {}
     for m in marks:
         partners[m.pair] = partners.get(m.pair, 0) + 1
@@ -336,6 +363,7 @@ def _features(marks: list[Mark], text: str) -> np.ndarray:
             m.kind == "cell",
             not line.strip() or not rest.strip(),
             before.isalnum() and after.isalnum(),
+            m.kind in _DOUBTS,
         )
     return out
 
@@ -370,8 +398,6 @@ def _cut(marks: list[Mark], text: str) -> list[bool]:
                 break
             if marks[stop].pair:
                 spans[marks[stop].pair] = spans.get(marks[stop].pair, 0) + 1
-            if stop - start >= 400:
-                break
             stop += 1
         block = marks[start:stop]
         n = len(block)
@@ -393,8 +419,8 @@ def _cut(marks: list[Mark], text: str) -> list[bool]:
             if k and before.count("\n") <= 1:
                 join(k - 1, n + k, 0.15, 0.15)
                 near = 0.6 / (1 + len(before) / 40)
-                same = 1.0 if block[k - 1].dialect == m.dialect else 0.3
-                join(k - 1, k, near * same, near * same)
+                if block[k - 1].dialect == m.dialect:
+                    join(k - 1, k, near, near)
         first: dict[int, int] = {}
         for k, m in enumerate(block):
             if m.pair:
@@ -421,7 +447,7 @@ def _max_flow(graph: list[dict[int, float]], s: int, t: int) -> list[bool]:
                     queue.append(b)
         if level[t] < 0:
             return [x >= 0 for x in level]
-        its = [iter(list(g)) for g in graph]
+        ways, at = [list(g) for g in graph], [0] * len(graph)  # the next way of each node; none is tried twice in a phase
         path = [s]
         while path:
             a = path[-1]
@@ -430,13 +456,15 @@ def _max_flow(graph: list[dict[int, float]], s: int, t: int) -> list[bool]:
                 for x, y in zip(path, path[1:]):
                     graph[x][y] -= c
                     graph[y][x] = graph[y].get(x, 0.0) + c
-                path = [s]
+                full = next(n for n, (x, y) in enumerate(zip(path, path[1:])) if graph[x][y] <= 1e-9)
+                path = path[: full + 1]
                 continue
-            for b in its[a]:
+            while at[a] < len(ways[a]):
+                b = ways[a][at[a]]
                 if graph[a][b] > 1e-9 and level[b] == level[a] + 1:
                     path.append(b)
-                    its[a] = iter([b, *its[a]])
                     break
+                at[a] += 1
             else:
                 level[a] = -1
                 path.pop()
