@@ -85,8 +85,8 @@ def test_the_cut_overrules_the_classifier_among_close_neighbours():
         marks = _marks(text)
         return [(text[m.start : m.end], o > 0, k) for m, o, k in zip(marks, (_features(marks, text) @ _log_odds()).tolist(), _cut(marks, text))]
 
-    close = {m: (own, kept) for m, own, kept in labels("<b>a</b><x><i>b</i>")}
-    apart = {m: (own, kept) for m, own, kept in labels("<b>a</b> and then, a good deal of words later, <x> and as many words again <i>b</i>")}
+    close = {m: (own, kept) for m, own, kept in labels("<b>a</b> <x> <i>b</i>")}
+    apart = {m: (own, kept) for m, own, kept in labels(f"<b>a</b> {'and then ' * 30} <x> {'and so on ' * 30} <i>b</i>")}
     assert close["<x>"] == (False, True) and apart["<x>"] == (False, False)
 
 

@@ -336,7 +336,7 @@ _CODE_SIGNS = frozenset("=;(){}[]\"<>+:,")
 
 def _features(marks: list[Mark], text: str) -> np.ndarray:
     """A row for each mark: the shape of its own and what stands around it."""
-    out = np.zeros((len(marks), 11))
+    out = np.zeros((len(marks), 12))
     partners: dict[int, int] = {}
     for m in marks:
         partners[m.pair] = partners.get(m.pair, 0) + 1
@@ -364,6 +364,7 @@ def _features(marks: list[Mark], text: str) -> np.ndarray:
             not line.strip() or not rest.strip(),
             before.isalnum() and after.isalnum(),
             m.kind in _DOUBTS,
+            m.kind == "path" and (before.isalnum() or before in tuple(":\\.-_")),
         )
     return out
 
@@ -418,7 +419,7 @@ def _cut(marks: list[Mark], text: str) -> list[bool]:
             join(k, n + k, 0.15, 0.15)
             if k and before.count("\n") <= 1:
                 join(k - 1, n + k, 0.15, 0.15)
-                near = 0.6 / (1 + len(before) / 40)
+                near = 0.9 / (1 + len(before) / 20)
                 if block[k - 1].dialect == m.dialect:
                     join(k - 1, k, near, near)
         first: dict[int, int] = {}
