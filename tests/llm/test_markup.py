@@ -91,7 +91,7 @@ def test_the_cut_overrules_the_classifier_among_close_neighbours():
 
 
 def test_what_only_looks_like_markup_is_kept():
-    for text in ("write to <address> or <name> now", "from $20 to 30$ in all", "it lies in C:\\notes\\textbooks\\8", "see [1][2]", "List<String> of R&Dx; and Q&Ab"):
+    for text in ("write to <whom> or <name> now", "from $20 to 30$ in all", "it lies in C:\\notes\\textbooks\\8", "see [1][2]", "List<String> of R&Dx; and Q&Ab"):
         assert clean(text) == (text, [])
 
 

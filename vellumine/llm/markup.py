@@ -327,7 +327,7 @@ _SAMPLE_MARKUP = (
 _SAMPLE_CONTENT = (
     'the answer was {"a": {"b": 1}}', 'it sent {"id": 7, "at": {"x": 3, "y": 4}}', "f = {k: {v: 2}}", "use map(x => { return { y: x }})", '{"user":{"name":"Ann"}} came back',
     "take m[idx[3]] first", "x = a[b[0]] + c[d[1]]", "rows[order[k]] = 5;", "the list [1, [2, 3]] has two", "v = [[1, 2], [3, 4]][n[0]]",
-    "use <name> or <path> here", "a List<String> of it", "from <start> to <end>", "Map<Key> m", "write to <address>", "R&D; and AT&T", "A&B;", "Q&A here",
+    "use <name> or <path> here", "a List<String> of it", "from <start> to <end>", "Map<Key> m", "write to <whom>", "R&D; and AT&T", "A&B;", "Q&A here",
     "it cost $5 or $6$ each", "from $20 to 30$ in all", "pay $9, get 3$ back", "in C:\\temp\\new files", "see D:\\old\\keys", "the share \\\\host\\folder", "see [1][2] and [3][4]", "m[4][5] and n[1][2]",
     "if (done || late) stop", "while (a || b) { wait(); }", "ok = x || y;", "return left || right", "test -f key || exit 1", "run(a) || fail(b)", "when p || q holds then r",
 )
