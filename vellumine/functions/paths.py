@@ -104,6 +104,24 @@ def normalize_roots(roots: list[str]) -> list[str]:
     return kept
 
 
+def on_disk(path: str) -> str:
+    """The path as the disk spells it, without the data volume's prefix; what does not exist stays as it is.
+
+    On file systems that do not mind case, a name is looked up by what it leads to.
+    """
+    done = "/"
+    for part in [p for p in path.split("/") if p]:
+        here = os.path.join(done, part)
+        try:
+            if part not in os.listdir(done) and os.path.lexists(here):
+                own = os.lstat(here)
+                part = next((e.name for e in os.scandir(done) if os.path.samestat(e.stat(follow_symlinks=False), own)), part)
+        except OSError:
+            pass
+        done = os.path.join(done, part)
+    return re.sub("^/System/Volumes/Data(?=/)", "", done)
+
+
 def confined(path: str, root: str = "corpus") -> bool:
     """Relative, and beneath ``root`` when cleaned."""
     return not path.startswith("/") and posixpath.normpath(path).startswith(root + "/")

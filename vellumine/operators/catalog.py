@@ -131,6 +131,11 @@ def work_items(content: DataFrame, files: DataFrame) -> DataFrame:
     return content.join(own, "content_hash").withColumn("primary_path", F.element_at("paths", 1))
 
 
+def by_path(files: DataFrame, path: str) -> DataFrame:
+    """The row of one path, by a filter that reaches the scan; no row if there is none."""
+    return files.where(F.col("path") == path)
+
+
 def page_of_paths(files: DataFrame, after: str, n: int) -> DataFrame:
     """The next ``n`` rows after a path in byte order, unread ones included."""
     return files.where(F.col("path") > after).orderBy("path").limit(n)

@@ -132,18 +132,23 @@ def needs_work(content: DataFrame, files: DataFrame, versions: dict[str, str]) -
     return used.where(~(F.col("state").isin("indexed", "failed") & current))
 
 
-def index_once(store: Store, contents: DataFrame, spec: EmbeddingSpec, embedder: Embedder, now: int) -> DataFrame:
-    """One run over all that needs work; returns its outcomes. A corpus that is current asks the embedder nothing but its size, once.
+def index_once(store: Store, contents: DataFrame | None, spec: EmbeddingSpec, embedder: Embedder, now: int) -> DataFrame:
+    """One run over all that is due; returns its outcomes. A corpus that is current asks the embedder nothing but its size, once.
 
-    ``contents(path, raw, content_hash, read_error)`` are the files' bytes.
+    ``contents(path, raw, content_hash, read_error)`` are the files' bytes; without them only those of the work are
+    read. Finished contents of other versions are due again; what waits for a retry is left alone until then.
     """
-    from vellumine.operators.catalog import mark_failed, replace_chunks, set_state, upsert_vectors, work_items
+    from vellumine.operators.catalog import mark_failed, replace_chunks, reset_stale, set_state, upsert_vectors, work_items
+    from vellumine.operators.queue import apply_outcomes, due
+    from vellumine.sources.files import read_contents
 
     spec.validate()
     dims = len(embedder.embed(["dimension probe"])[0])
     versions = stage_versions(spec, dims)
-    files, content = store.read("files"), store.read("content")
-    work = work_items(needs_work(content, files, versions), files).select("content_hash", "paths")
+    files, content = store.read("files"), reset_stale(store.read("content"), versions)
+    work = cut(work_items(due(needs_work(content, files, versions), now), files).select("content_hash", "paths"))
+    if contents is None:
+        contents = read_contents(work.select(F.explode("paths").alias("path")).distinct())
     outcomes, chunks, vectors = process(read_verified(work, contents), spec, embedder)
     outcomes = cut(outcomes)
     generations, number = ensure_generation(store.read("generations"), spec, dims)
@@ -153,13 +158,42 @@ def index_once(store: Store, contents: DataFrame, spec: EmbeddingSpec, embedder:
     old_chunks, old_vectors = store.read("chunks"), store.read("vectors")
     keep = lambda df: df.join(done, "content_hash", "left_anti").select(df.columns)
     c, v, content, _ = replace_chunks(keep(old_chunks), keep(old_vectors), content, new, versions, now)
-    content = set_state(content, done, "indexed", now, versions)
     v, _ = upsert_vectors(v, c, vectors, number, dims)
     bad = outcomes.where("outcome = 'failed'")
     c, v, content = mark_failed(c, v, content, bad, "not readable as text", now)
-    content = set_state(content, bad, "failed", now, versions)
+    content = set_state(content, done.unionByName(bad.select("content_hash")), "chunked", now, versions)
+    content = apply_outcomes(content, outcomes.select("content_hash", "outcome", "error"), now)
     c, v, content = cut(c), cut(v), cut(content)
     store.replace("chunks", c)
     store.replace("vectors", v)
     store.replace("content", content)
     return outcomes
+
+
+def drain(store: Store, spec: EmbeddingSpec, embedder: Embedder, now: int) -> dict:
+    """Work off what is due: counts of outcomes, and whether the embedder is down.
+
+    An embedder that does not answer the probe is an outage, in which nothing is charged. If it fails during the run,
+    nothing of the run is kept; the work is tried later, and charged only if the embedder answers meanwhile.
+    """
+    from vellumine.operators.catalog import work_items
+    from vellumine.operators.queue import apply_outcomes, due
+
+    def up() -> bool:
+        try:
+            return bool(embedder.embed(["dimension probe"]))
+        except Exception:
+            return False
+
+    if not up():
+        return {"outage": True}
+    try:
+        return {r["outcome"]: r["count"] for r in index_once(store, None, spec, embedder, now).groupBy("outcome").count().collect()}
+    except Exception as e:
+        if "EmbeddingError" not in f"{type(e).__name__} {e}":
+            raise
+        content = store.read("content")
+        tried = work_items(due(content, now), store.read("files")).select("content_hash", F.lit("transient").alias("outcome"), F.lit("the embedder failed").alias("error"))
+        outage = not up()
+        store.replace("content", apply_outcomes(content, tried, now, outage=outage))
+        return {"outage": True} if outage else {"transient": tried.count()}

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.functions.paths import excluded, is_text_file, strictly_under, within_any
 
-KNOWN_VOLUME, UNKNOWN_VOLUME = True, False
-
-
 @dataclass(frozen=True)
 class ScanContext:
     """What a scan knows besides the listing. ``known_mounts`` of None: never recorded, so nothing may be called deleted for being absent."""
@@ -24,7 +21,7 @@ class ScanContext:
     mounts_supported: bool = False
     excluded_prefixes: tuple[str, ...] = ()
     excluded_names: tuple[str, ...] = ()
-    extra: dict = field(default_factory=dict)
+    unknown: DataFrame | None = None  # (root): more prefixes of which nothing is known, as many as there are
 
     def declines(self) -> str | None:
         """Why the pass must not delete anything at all."""
@@ -34,7 +31,7 @@ class ScanContext:
             return "mount table is empty"
         return None
 
-    def unknown(self) -> list[str]:
+    def unknown_roots(self) -> list[str]:
         """Prefixes of which nothing is known: unreadable folders and volumes that are not mounted now."""
         gone = [m for m in (self.known_mounts or ()) if m not in self.live_mounts] if self.mounts_supported else []
         return sorted({*self.unknown_prefixes, *gone})
@@ -87,9 +84,10 @@ def reconcile(files: DataFrame, listing: DataFrame, context: ScanContext) -> Dat
     c = files.select("path", F.col("content_hash").alias("c_hash"), F.col("unread_reason").alias("c_reason"), F.col("size").alias("c_size"), F.col("mtime_ns").alias("c_mtime"))
     j = c.join(listing, "path", "full_outer")
     spark = files.sparkSession
-    unknown = context.unknown()
-    if unknown:
+    unknown = context.unknown_roots()
+    if unknown or context.unknown is not None:
         roots = spark.createDataFrame([(u,) for u in unknown], "root string")
+        roots = roots if context.unknown is None else roots.unionByName(context.unknown)
         under = strictly_under(c.select("path"), roots).select("path").withColumn("_u", F.lit(True))
         j = j.join(under, "path", "left")
     else:

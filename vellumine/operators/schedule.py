@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as Late
 from dataclasses import dataclass, field, replace
 
 SCAN_EVERY_S, WATCHED_SCAN_EVERY_S, MOST_PENDING = 300, 900, 65_536
@@ -53,3 +57,55 @@ def cycle(s: State, now: int, due: int, **power) -> list[str]:
     steps += [f"sweep_{s.sweep}"] if s.sweep else []
     held = gate(due, **power)
     return [*steps, "drain" if held is None else f"held:{held}"]
+
+
+def run_cycle(s: State, now: int, steps: dict[str, Callable], due: Callable[[], int], **power) -> tuple[State, dict]:
+    """Carry out one cycle; the next state, and what each step gave.
+
+    ``steps`` has ``scan()``, ``reconcile(paths)``, ``sweep(scope)`` and ``drain()``. A step that fails ends the cycle, and
+    what it was to do stays due: pending paths, an armed sweep and a full scan are given up only when they are done.
+    """
+    out: dict = {}
+    try:
+        if scan_due(s, now):
+            out["scan"] = steps["scan"]()
+            s = after_scan(s, {k: v for k, v in out["scan"].items() if isinstance(v, int)}, now, not out["scan"].get("declined"))
+        elif s.pending:
+            out["reconcile"] = steps["reconcile"](sorted(s.pending))
+            seen = after_scan(s, {k: v for k, v in out["reconcile"].items() if isinstance(v, int)}, now, False)
+            s = replace(seen, last_scan=s.last_scan, full_scan=s.full_scan)
+        if s.sweep:
+            steps["sweep"](s.sweep)
+            out["sweep"], s = s.sweep, replace(s, sweep=None)
+        held = gate(due(), **power)
+        if held:
+            out["held"] = held
+        else:
+            out["drain"] = steps["drain"]()
+    except Exception as e:
+        out["error"] = f"{type(e).__name__}: {e}"
+    return s, out
+
+
+class Searches:
+    """At most ``most`` searches at once, each for ``seconds`` at most; more are refused instead of queued."""
+
+    def __init__(self, most: int = 8, seconds: float = 30.0):
+        self.seconds, self._free, self._pool = seconds, threading.BoundedSemaphore(most), ThreadPoolExecutor(most)
+
+    def run(self, search: Callable, *args, **kwargs):
+        from vellumine.operators.search import DeadlineExceeded, Overloaded
+
+        if not self._free.acquire(blocking=False):
+            raise Overloaded("too many searches at once")
+
+        def one():
+            try:
+                return search(*args, **kwargs)
+            finally:
+                self._free.release()
+
+        try:
+            return self._pool.submit(one).result(self.seconds)
+        except Late:
+            raise DeadlineExceeded("the search took too long") from None

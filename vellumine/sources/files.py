@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import stat
 import tomllib
 from dataclasses import dataclass, field, fields, is_dataclass
@@ -34,58 +35,87 @@ class _Folder(InputPartition):
         self.path, self.deep = path, deep
 
 
+#: Folders are opened on the driver until there are so many to share out.
+MOST_FOLDERS = 256
+# Fixed value: the file flag of a placeholder whose content is not on the disk.
+SF_DATALESS = 0x40000000
+
+
 class ListingReader(DataSourceReader):
-    """One partition for each first-level folder of a root; links are not followed, unreadable folders are reported."""
+    """Folders are shared out over partitions, large ones by their subfolders; links are not followed, unreadable folders are reported."""
 
     def __init__(self, options: dict):
         self.roots = normalize_roots(json.loads(options["roots"]))
-        self.skip = json.loads(options.get("skip", json.dumps(SKIPPED_NAMES)))
+        self.skip = tuple(json.loads(options.get("skip", json.dumps(SKIPPED_NAMES))))
+        self.prefixes = tuple(json.loads(options.get("prefixes", "[]")))
         self.hash = options.get("hash", "false") == "true"
 
     def partitions(self):
-        out = []
-        for r in self.roots:
-            out.append(_Folder(r, False))
+        hidden = _hidden(self.skip, self.prefixes)
+        todo, out = list(self.roots), []
+        while todo and len(todo) + len(out) < MOST_FOLDERS:
+            folder = todo.pop(0)
+            out.append(_Folder(folder, False))
             try:
-                out += [_Folder(e.path, True) for e in sorted(os.scandir(r), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
+                todo += [e.path for e in sorted(os.scandir(folder), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and not hidden(e.path)]
             except OSError:
                 pass
-        return out
+        return [*out, *(_Folder(f, True) for f in todo)]
 
     def read(self, partition):
-        import re
-
-        skip = [re.compile(glob_regex(s)) for s in self.skip]
-        todo = [(partition.path, partition.deep)]
-        while todo:
-            folder, deep = todo.pop()
-            if deep and any(s.match(os.path.basename(folder)) for s in skip):
-                continue
-            try:
-                entries = sorted(os.scandir(folder), key=lambda e: e.name)
-            except OSError as e:
-                yield (folder, "dir", None, None, None, _reason(e), False, None)
-                continue
-            for e in entries:
-                if e.is_dir(follow_symlinks=False):
-                    if deep:
-                        todo.append((e.path, True))
-                    continue
-                yield self._row(e.path)
-
-    def _row(self, path: str):
+        for row in walk(partition.path, self.skip, self.prefixes, partition.deep):
+            yield self._hashed(row) if self.hash else row
+
+    def _hashed(self, row: tuple) -> tuple:
+        if row[1] != "file" or not row[0].lower().endswith(TEXT_SUFFIXES):
+            return row
         try:
-            s = os.lstat(path)
+            return (*row[:7], hash_file(row[0]))
         except OSError as e:
-            return (path, None, None, None, _reason(e), None, False, None)
-        kind = "symlink" if stat.S_ISLNK(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else "other"
-        digest = error = None
-        if self.hash and kind == "file" and path.lower().endswith(TEXT_SUFFIXES):
-            try:
-                digest = hash_file(path)
-            except OSError as e:
-                error = _reason(e)
-        return (path, kind, s.st_size, s.st_mtime_ns, None, error, False, digest)
+            return (*row[:5], _reason(e), *row[6:])
+
+
+def _hidden(names: tuple[str, ...], prefixes: tuple[str, ...] = ()):
+    patterns = [re.compile(glob_regex(n)) for n in names]
+    return lambda path: any(p.match(os.path.basename(path)) for p in patterns) or any(path == p or path.startswith(p.rstrip("/") + "/") for p in prefixes)
+
+
+def walk(top: str, skip: tuple[str, ...] = SKIPPED_NAMES, prefixes: tuple[str, ...] = (), deep: bool = True):
+    """Listing rows of the entries beneath ``top`` that are no folders, and of the folders that cannot be read."""
+    hidden = _hidden(skip, prefixes)
+    todo = [top]
+    while todo:
+        folder = todo.pop()
+        try:
+            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        except OSError as e:
+            yield (folder, "dir", None, None, _reason(e), None, False, None)
+            continue
+        for e in entries:
+            if not e.is_dir(follow_symlinks=False):
+                yield entry_row(e.path)
+            elif deep and not hidden(e.path):
+                todo.append(e.path)
+
+
+def entry_row(path: str) -> tuple:
+    """The listing row of one path, which is not read."""
+    try:
+        s = os.lstat(path)
+    except OSError as e:
+        return (path, None, None, None, _reason(e), None, False, None)
+    kind = "symlink" if stat.S_ISLNK(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else "dir" if stat.S_ISDIR(s.st_mode) else "other"
+    return (path, kind, s.st_size, s.st_mtime_ns, None, None, bool(getattr(s, "st_flags", 0) & SF_DATALESS), None)
+
+
+def mount_table() -> tuple[list[str], bool]:
+    """The mounted volumes besides the root's, and whether the system tells them."""
+    try:
+        lines = Path("/proc/self/mounts").read_text().splitlines()
+    except OSError:
+        return [], False
+    places = {re.sub(r"\\([0-7]{3})", lambda m: chr(int(m[1], 8)), line.split(" ")[1]) for line in lines if line.count(" ") > 1}
+    return sorted(places), True
 
 
 def _reason(e: OSError) -> str:
@@ -104,18 +134,38 @@ class ListingSource(DataSource):
         return ListingReader(self.options)
 
 
-def list_files(spark: SparkSession, roots: list[str], with_hash: bool = False, skip: tuple[str, ...] = SKIPPED_NAMES) -> DataFrame:
+def list_files(spark: SparkSession, roots: list[str], with_hash: bool = False, skip: tuple[str, ...] = SKIPPED_NAMES, skip_prefixes: tuple[str, ...] = ()) -> DataFrame:
     """Every entry beneath ``roots`` that all workers see; empty files included, unlike the binary file source."""
     spark.dataSource.register(ListingSource)
-    return spark.read.format("vellumine_listing").option("roots", json.dumps(roots)).option("skip", json.dumps(list(skip))).option("hash", str(with_hash).lower()).load()
+    return spark.read.format("vellumine_listing").option("roots", json.dumps(roots)).option("skip", json.dumps(list(skip))).option("prefixes", json.dumps(list(skip_prefixes))).option("hash", str(with_hash).lower()).load()
 
 
 def to_read(listing: DataFrame, files: DataFrame) -> DataFrame:
-    """The listing's files whose size or mtime differ from the catalog's: only these need to be hashed."""
-    same = files.where("content_hash is not null").select("path", "size", "mtime_ns")
+    """The listing's files whose size or mtime differ from the catalog's: only these need to be hashed.
+
+    Those that could not be read for a fault of the device are not tried again as long as they stay as they are.
+    """
+    same = files.where("content_hash is not null or unread_reason = 'io_error'" if "unread_reason" in files.columns else "content_hash is not null").select("path", "size", "mtime_ns")
     return listing.where("kind = 'file'").join(same, ["path", "size", "mtime_ns"], "left_anti")
 
 
+def hash_contents(files: DataFrame) -> DataFrame:
+    """``(path, content_hash, read_error)`` of files by path; they are hashed block by block on the workers."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                try:
+                    rows.append((p, hash_file(p), None))
+                except OSError as e:
+                    rows.append((p, None, _reason(e)))
+            yield pd.DataFrame(rows, columns=["path", "content_hash", "read_error"])
+
+    return files.select("path").mapInPandas(run, "path string, content_hash string, read_error string")
+
+
 def read_contents(files: DataFrame) -> DataFrame:
     """``(path, raw, content_hash, read_error)`` of files by path, read on the workers in small batches."""
     import pandas as pd
