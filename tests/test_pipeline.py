@@ -80,16 +80,40 @@ def test_windows_are_fixed_and_armed_by_the_first_event(spark):
     assert fold([0, 9, 10, 19, 20], 10) == [(0, 9, 2), (10, 19, 2), (20, 20, 1)]
 
 
+def test_an_idle_key_gives_its_window_by_a_timer(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    schema = "key string, t long, path string, rescan boolean"
+    spark.createDataFrame([("k", 0, "/a", False), ("k", 5, "/b", False)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = debounce_stream(s, 1_000_000).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        import time
+
+        for _ in range(40):
+            time.sleep(1)
+            assert q.exception() is None
+            got = [(r["window_start"], r["n_events"], sorted(r["paths"])) for r in spark.read.schema("window_start long, n_events long, paths array<string>").parquet(str(tmp_path / "out")).collect()] if (tmp_path / "out").exists() else []
+            if got:
+                break
+    finally:
+        q.stop()
+    assert got == [(0, 2, ["/a", "/b"])]
+
+
 def test_stream_survives_a_restart(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     schema = "key string, t long, path string, rescan boolean"
-    batches = [[("k", 0, "/a", False), ("k", 5, "/b", False)], [("k", 8, "/a", False), ("k", 30, "/c", False)], [("k", 45, "/d", True), ("k", 60, "/e", False)]]
+    unit = 100_000_000  # windows of 1,000 s, so that no timer runs out here
+    batches = [[("k", 0, "/a", False), ("k", 5 * unit, "/b", False)], [("k", 8 * unit, "/a", False), ("k", 30 * unit, "/c", False)], [("k", 45 * unit, "/d", True), ("k", 60 * unit, "/e", False)]]
     out = []
     for i, b in enumerate(batches):
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         s = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        q = debounce_stream(s, 10).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q = debounce_stream(s, 10 * unit).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(120)
-    out = sorted((r["window_start"], r["n_events"], r["rescan"], tuple(r["paths"])) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    out = sorted((r["window_start"] // unit, r["n_events"], r["rescan"], tuple(r["paths"])) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert out == [(0, 3, False, ("/a", "/b")), (30, 1, False, ("/c",)), (45, 1, True, ())]

@@ -44,6 +44,6 @@ def test_entry(spark):
         assert entry.entry(spark).count() == 10
 
 
-@pytest.mark.parametrize("name", ["text_previews", "chunk_documents", "chunk_with_ceiling"])
+@pytest.mark.parametrize("name", ["chunk_documents", "chunk_with_ceiling"])
 def test_other_queries_run(spark, name):
     assert entry.queries()[name](spark, DIR).count() > 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellumine.functions.paths import excluded, fold_data_volume, is_text_file, strictly_under, within_any
 from vellumine.functions.stats import retry_window
 from vellumine.operators import catalog, queue, status
+from vellumine.operators.scan import unknown_places
 from vellumine.operators.reconcile import ScanContext, next_files, reconcile, scan_counts
 from vellumine.runtime import table
 from vellumine.schemas import check_content, check_files
@@ -157,6 +158,19 @@ def reconciled_catalog(spark, sf_dir) -> DataFrame:
     return next_files(files, reconcile(files, _listing(spark, sf_dir), CONTEXT)).select("path", "content_hash", "unread_reason", "size")
 
 
+def beneath_unknown(spark, sf_dir) -> DataFrame:
+    """Catalogued files beneath places that the newest listing could not look into: they are left alone."""
+    files, seen = _t(spark, sf_dir)[0], _listing(spark, sf_dir)
+    return strictly_under(files, unknown_places(seen)).select("path")
+
+
+def kept_on_evidence(spark, sf_dir) -> DataFrame:
+    """How many files of each action there are if folders with errors and links are taken from the listing itself."""
+    files, seen = _t(spark, sf_dir)[0], _listing(spark, sf_dir)
+    context = ScanContext(roots=("/vault",), excluded_names=("tax*",), unknown=unknown_places(seen))
+    return reconcile(files, seen, context).groupBy("action").agg(F.count("*").alias("n"))
+
+
 def broken_rows(spark, sf_dir) -> DataFrame:
     files, content = _t(spark, sf_dir)
     a = check_files(files).groupBy("rule").agg(F.count("*").alias("n"))
@@ -168,7 +182,7 @@ QUERIES = {
     for f in (
         content_dedupe, primary_path, catalog_counts_zero_filled, reconciliation_identity, queue_depth, due_filter, claim_batch, reset_stale_nullsafe,
         stage_versions_merged, orphan_sweep_queue, orphan_sweep_all, failure_groups, prefix_delete, exact_delete, page_of_paths, upsert_files, mark_failed,
-        retry_transitions, retry_window_seconds, file_admission, underany, within_roots, reconcile_decisions, reconcile_counts, reconciled_catalog, broken_rows,
+        retry_transitions, retry_window_seconds, file_admission, underany, within_roots, reconcile_decisions, reconcile_counts, reconciled_catalog, beneath_unknown, kept_on_evidence, broken_rows,
     )
 }
 
@@ -250,6 +264,9 @@ CASE WHEN tr OR done OR o = 'changed' THEN {NOW} ELSE updated_at END AS updated_
 AND NOT regexp_matches(path, '(^|/)([^/]*draft[^/]*|scan[^/])(/|$)'), false) AS admitted, path AS folded FROM listing""",
     "underany": "SELECT path FROM catalog_files WHERE starts_with(path, '/vault/archive/2021/') OR starts_with(path, '/vault/tax/') OR starts_with(path, '/vault/invoice/')",
     "within_roots": "SELECT path FROM catalog_files WHERE path IN ('/vault/letters', '/vault/arch') OR starts_with(path, '/vault/letters/') OR starts_with(path, '/vault/arch/')",
+    "beneath_unknown": """WITH l AS (SELECT path, kind, stat_error FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scan_id DESC, obs_id DESC) AS r FROM listing) WHERE r = 1)
+SELECT path FROM catalog_files c WHERE EXISTS (SELECT 1 FROM l WHERE ((kind = 'dir' AND stat_error IS NOT NULL) OR kind = 'symlink') AND starts_with(c.path, l.path || '/'))""",
+    "kept_on_evidence": _ACTIONS.replace("path LIKE '/vault/scans/%'", "EXISTS (SELECT 1 FROM l u WHERE ((u.kind = 'dir' AND u.stat_error IS NOT NULL) OR u.kind = 'symlink') AND starts_with(k.path, u.path || '/'))") + "SELECT action, count(*) AS n FROM actions WHERE action IS NOT NULL GROUP BY action",
     "reconcile_decisions": _ACTIONS + "SELECT path, action FROM actions WHERE action IS NOT NULL",
     "reconcile_counts": _ACTIONS
     + """SELECT count(*) FILTER (action IN ('discovered', 'changed')) AS discovered, count(*) FILTER (action = 'changed') AS changed, count(*) FILTER (action IN ('unchanged', 'touched')) AS unchanged,

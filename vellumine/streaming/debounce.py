@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+#: Windows of time within which gaps are looked for together.
+SPAN = 256
 WINDOW_S, MOST_HELD, MOST_PENDING = 10, 8192, 65_536
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,15 +32,21 @@ def debounce_batch(events: DataFrame, key: str, ts_us: str, width_us: int) -> Da
     """``(key, window_start, last_event, n_events)`` of a bounded table of events, times in microseconds.
 
     Events are first cut at gaps of at least a window, where a new window always begins; so a key's history is
-    folded in many small runs instead of one. Null keys or times are left out.
+    folded in many small runs instead of one; a burst without any such gap is one run, read as a stream. Null keys or
+    times are left out.
     """
     kind = dict(events.dtypes)[key]
     e = events.where(F.col(key).isNotNull() & F.col(ts_us).isNotNull()).select(F.col(key).alias("k"), F.col(ts_us).cast("long").alias("t"))
-    w = Window.partitionBy("k").orderBy("t")
-    # Per key and quantum first, so that the ordered window sees one row per distinct time.
-    e = e.groupBy("k", "t").agg(F.count("*").alias("c"))
-    e = e.withColumn("gap", (F.col("t") - F.lag("t").over(w) >= width_us).cast("int"))
-    e = e.withColumn("burst", F.coalesce(F.sum("gap").over(w), F.lit(0)))
+    # Per key and time first, so that the ordered windows see one row per distinct time.
+    e = e.groupBy("k", "t").agg(F.count("*").alias("c")).withColumn("b", F.floor(F.col("t") / (SPAN * width_us)))
+    # Gaps and bursts are found within spans of time and carried over by a small table of their ends, so that no task
+    # holds a key's whole history.
+    inside, along = Window.partitionBy("k", "b").orderBy("t"), Window.partitionBy("k").orderBy("b")
+    ends = e.groupBy("k", "b").agg(F.max("t").alias("hi")).withColumn("before", F.lag("hi").over(along)).drop("hi")
+    e = e.join(ends, ["k", "b"]).withColumn("gap", F.coalesce(F.col("t") - F.coalesce(F.lag("t").over(inside), "before") >= width_us, F.lit(False)).cast("int")).drop("before")
+    gaps = e.groupBy("k", "b").agg(F.sum("gap").alias("n"))
+    gaps = gaps.withColumn("first", F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    e = e.withColumn("burst", F.sum("gap").over(inside)).join(gaps, ["k", "b"]).withColumn("burst", F.col("burst") + F.col("first"))
 
     names = [key, "window_start", "last_event", "n_events"]
 
@@ -62,6 +70,9 @@ def debounce_batch(events: DataFrame, key: str, ts_us: str, width_us: int) -> Da
     return spread.mapInPandas(run, f"`{key}` {kind}, window_start long, last_event long, n_events long")
 
 
+COLUMNS = ["key", "window_start", "last_event", "n_events", "rescan", "paths"]
+
+
 class Debouncer(StatefulProcessor):
     """Per key: the open window's start, its paths, and whether a rescan is due; held paths beyond the cap collapse into a rescan."""
 
@@ -69,6 +80,7 @@ class Debouncer(StatefulProcessor):
         self.width, self.most = width_us, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getValueState("window", "start long, last long, n long, rescan boolean, paths array<string>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -91,7 +103,18 @@ class Debouncer(StatefulProcessor):
                     now["rescan"], now["paths"] = True, set()
         if now is not None:
             self.window.update((now["start"], now["last"], now["n"], now["rescan"], sorted(now["paths"])))
-        yield pd.DataFrame(out, columns=["key", "window_start", "last_event", "n_events", "rescan", "paths"])
+            if held is None or held[0] != now["start"]:  # a window that was just opened closes by itself if no event comes
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, self.width // 1000))
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """Close the window whose time is over; the timer of one that an event has closed meanwhile finds a younger one and lets it be."""
+        out = []
+        if self.window.exists() and all(t <= expiredTimerInfo.getExpiryTimeInMs() for t in self.handle.listTimers()):
+            start, last, n, rescan, paths = self.window.get()
+            out.append((key[0], start, last, n, rescan, list(paths)))
+            self.window.clear()
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     def _close(self, key: Any, w: dict) -> tuple:
         return key, w["start"], w["last"], w["n"], w["rescan"], sorted(w["paths"])
@@ -103,14 +126,16 @@ class Debouncer(StatefulProcessor):
 def debounce_stream(events: DataFrame, width_us: int = WINDOW_S * 1_000_000, most: int = MOST_HELD) -> DataFrame:
     """Closed windows of a stream ``(key string, t long, path string, rescan boolean)``; needs the RocksDB state store.
 
-    A window is closed by the first later event of its key; what is open when the stream stops stays in the
-    state and comes out after a restart from the checkpoint, so nothing is lost.
+    A window is closed by the first later event of its key, or by a timer once its width has passed since it was
+    opened. What is open when the stream stops stays in the state and comes out after a restart from the checkpoint,
+    so nothing is lost. Timers need batches without data; a run that is to end when its input does
+    (``availableNow``) has to turn them off (``spark.sql.streaming.noDataMicroBatches.enabled``).
     """
     return events.groupBy("key").transformWithStateInPandas(
         statefulProcessor=Debouncer(width_us, most),
         outputStructType="key string, window_start long, last_event long, n_events long, rescan boolean, paths array<string>",
         outputMode="Append",
-        timeMode="None",
+        timeMode="ProcessingTime",
     )
 
 
