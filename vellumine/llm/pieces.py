@@ -215,15 +215,22 @@ def _emit(ranges: DataFrame, limit: int, overlap: int, step: int, halo: int, id_
                     rows.append((n, r, a, *([x[k] for x in s] for k in range(4))))
             yield pd.DataFrame(rows, columns=["n", "r", "a", "s", "m", "t", "k"])
 
-    def states(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        """The fence that is open where the halo of each range begins; some bytes for each 64 KB of the item."""
-        state: Open = None
-        out = []
-        for a, s, m, t, k in parts.drop_duplicates("a").sort_values("a")[["a", "s", "m", "t", "k"]].itertuples(index=False):
-            if a % step:
-                out.append((key[0], a + halo, state[0] if state else "", state[1] if state else 0))
-            state = apply_summary(state, list(zip(s, m, t, k)))
-        return pd.DataFrame([(key[0], 0, "", 0), *out], columns=["n", "r", "sign", "open"])
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The fence that is open where the halo of each range begins: a fold over rows in the order of (n, a)."""
+        item, at, state = None, -1, None
+        for b in batches:
+            out = []
+            for n, a, s, m, t, k in zip(b["n"], b["a"], b["s"], b["m"], b["t"], b["k"]):
+                if n != item:
+                    item, at, state = n, -1, None
+                    out.append((n, 0, "", 0))
+                if a == at:  # a repeated row
+                    continue
+                at = a
+                if a % step:
+                    out.append((n, a + halo, state[0] if state else "", state[1] if state else 0))
+                state = apply_summary(state, list(zip(s, m, t, k)))
+            yield pd.DataFrame(out, columns=["n", "r", "sign", "open"])
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -237,7 +244,7 @@ def _emit(ranges: DataFrame, limit: int, overlap: int, step: int, halo: int, id_
             yield pd.DataFrame(rows, columns=["i", "n", "r", "j", "text", "heading_path", "byte_start", "byte_end"])
 
     parts = ranges.select("n", "r", "low", "raw").mapInPandas(summarise, "n string, r long, a long, s array<string>, m array<long>, t array<string>, k array<long>")
-    before = parts.groupBy("n").applyInPandas(states, "n string, r long, sign string, open long")
+    before = parts.select("n", "a", "s", "m", "t", "k").repartition("n").sortWithinPartitions("n", "a").mapInPandas(states, "n string, r long, sign string, open long")
     return ranges.join(before, ["n", "r"]).mapInPandas(emit, f"i {id_type}, n string, r long, j int, text string, heading_path string, byte_start long, byte_end long")
 
 
