@@ -99,6 +99,10 @@ def test_a_second_run_takes_only_later_scans(spark, tmp_path):
     later = spark.createDataFrame([(50, 6, "/more.md", "file", 1, 1, None, None, False, "m2")], L)
     again = files_to_process(later, runs, catalog, queue, home)
     assert [tuple(r) for r in again.collect()] == [("/more.md", "m2")]
+    assert files_to_process(listing.unionByName(later), runs, catalog, queue, home).count() == 0
+    late = spark.createDataFrame([(60, 5, "/late2.md", "file", 1, 1, None, None, False, "x2")], L)  # of a scan that is known
+    assert [tuple(r) for r in files_to_process(listing.unionByName(late), runs, catalog, queue, home).collect()] == [("/late2.md", "x2")]
+    assert files_to_process(listing.limit(0), runs, catalog, queue, home).count() == 0
 
 
 L = "obs_id long, scan_id int, path string, kind string, size long, mtime_ns long, stat_error string, read_error string, is_dataless boolean, content_hash string"

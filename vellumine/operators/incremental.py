@@ -43,9 +43,15 @@ def unfinished(observed: DataFrame, queue: DataFrame) -> DataFrame:
 
 
 def commit_scans(listing: DataFrame, path: str) -> tuple[VersionedTable, dict]:
-    """The listing as a versioned table, one version for each scan in the order of their ids, and ``{scan_id: version}``."""
+    """The listing as a versioned table, one version for each scan in the order of their ids, and ``{scan_id: version}``.
+
+    Observations that the table holds already, by ``obs_id``, are not put in again, so a listing may be handed over
+    whole or in parts; late rows of an earlier scan come in with a version of their own.
+    """
     table = VersionedTable(listing.sparkSession, path)
-    rows = listing.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in SEEN.split(", "))).where("path is not null and scan_id is not null")
+    rows = listing.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in SEEN.split(", "))).where("path is not null and scan_id is not null and obs_id is not null")
+    if table.latest():
+        rows = rows.join(table.read().select("obs_id"), "obs_id", "left_anti")
     return table, table.commit_each(rows, "scan_id")
 
 
