@@ -1,6 +1,6 @@
 """Held-out passages inside training documents: find, report and remove.
 
-Plan: the passages become a set of hashed pairs of their content words (next to each other, or with one between), which
+Plan: the passages become a hash table of pairs of their content words (next to each other, or with one between), which
 is broadcast in blocks of a bounded number of words; every document is scanned
 once per block by a narrow Arrow map (no shuffle, nothing kept but the hits),
 seeds are extended to aligned runs, and a run counts when it spans enough words.
@@ -51,14 +51,15 @@ def _similar(a: str, b: str, named: bool = False) -> bool:
     """One slip of the pen: at most two letters differ in a word of six or more, one in a shorter one or a name."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 3 or (a.isdigit() and b.isdigit()):
-        return False
-    most = 2 if min(len(a), len(b)) >= 6 and not named else 1
+    least = min(len(a), len(b))
+    if least < 3 or (a[0] != b[0] and a[-1] != b[-1]) or max(len(a), len(b)) - least > 2 or (a.isdigit() and b.isdigit()):
+        return False  # words that differ at both ends differ in more than two letters
+    most = 2 if least >= 6 and not named else 1
     i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
+    while i < least and a[i] == b[i]:
         i += 1
     j = 0
-    while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
+    while j < least - i and a[-1 - j] == b[-1 - j]:
         j += 1
     x, y = a[i : len(a) - j], b[i : len(b) - j]
     if len(x) == len(y) == 2 and x == y[::-1]:
@@ -73,20 +74,20 @@ class PassageIndex:
         self.n, self.least = n, least
         self.words: dict[int, list[str]] = {}
         self.content: dict[int, list[int]] = {}
+        self.phrase: dict[int, list[str]] = {}
         self.named: dict[int, list[bool]] = {}
-        self.grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.grams: dict[int, dict[str, dict[str, list[tuple[int, int]]]]] = {1: {}, 2: {}}  # by gap and the two words
         for key, (_, text) in enumerate(rows):
             found = [m.group() for m in _TOKEN.finditer(text or "")]
             w = [_norm(x) for x in found]
             at = [i for i, x in enumerate(w) if x not in SMALL]
             self.words[key], self.content[key] = w, at
             self.named[key] = [w[i].isdigit() or (i > 0 and found[i][:1].isupper()) for i in at]
-            c = [w[i] for i in at]
+            c = self.phrase[key] = [w[i] for i in at]
             for gap in (1, 2):
                 for i in range(len(c) - gap):
-                    self.grams[hash((gap, c[i], c[i + gap]))].append((key, i))
+                    self.grams[gap].setdefault(c[i], {}).setdefault(c[i + gap], []).append((key, i))
         self.items = [i for i, _ in rows]
-        self.grams = dict(self.grams)
         # Stretches that are long enough but have too few content words for an alignment: looked up as they are.
         self.plain: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for key, w in self.words.items():
@@ -103,13 +104,12 @@ class PassageIndex:
         words = [_norm(x) for x in raw]
         at = [i for i, x in enumerate(words) if x not in SMALL]
         c = [words[i] for i in at]
-        grams = self.grams
         seeds: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for gap in (1, 2):
+            firsts = self.grams[gap]
             for i, (a, b) in enumerate(zip(c, c[gap:])):
-                for key, j in grams.get(hash((gap, a, b)), ()):
-                    w, pat = self.words[key], self.content[key]
-                    if a == w[pat[j]] and b == w[pat[j + gap]]:
+                if a in firsts and b in (seconds := firsts[a]):
+                    for key, j in seconds[b]:
                         seeds[key].append((i, j, gap))
         runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for size, known in self.plain.items():
@@ -148,31 +148,31 @@ class PassageIndex:
 
     def _extend(self, c: list[str], key: int, i: int, j: int, gap: int) -> list[tuple[int, int]]:
         """Aligned content words around a seed: equal or misspelt words, single other words in between."""
-        pw, pat, named = self.words[key], self.content[key], self.named[key]
-        p = lambda k: pw[pat[k]]
+        p, named = self.phrase[key], self.named[key]
+        n, m = len(c), len(p)
         out = [(i, j), (i + gap, j + gap)]
         if gap == 2:
-            if _similar(c[i + 1], p(j + 1), named[j + 1]):
+            if _similar(c[i + 1], p[j + 1], named[j + 1]):
                 out.append((i + 1, j + 1))
             elif named[j + 1] or c[i + 1].isdigit():
                 return out
         for step in (1, -1):
             x, y = (i + gap + 1, j + gap + 1) if step == 1 else (i - 1, j - 1)
             clean = 1  # words matched since the last slip
-            while 0 <= x < len(c) and 0 <= y < len(pat):
-                if _similar(c[x], p(y), named[y]):
+            while 0 <= x < n and 0 <= y < m:
+                if c[x] == p[y] or _similar(c[x], p[y], named[y]):
                     out.append((x, y))
                     x, y, clean = x + step, y + step, clean + 1
                     continue
                 x1, y1 = x + step, y + step
-                inx, iny = 0 <= x1 < len(c), 0 <= y1 < len(pat)
+                inx, iny = 0 <= x1 < n, 0 <= y1 < m
                 if clean < 1:
                     break
-                if inx and iny and _similar(c[x1], p(y1), named[y1]) and not named[y] and not c[x].isdigit():
+                if inx and iny and _similar(c[x1], p[y1], named[y1]) and not named[y] and not c[x].isdigit():
                     x, y, clean = x1, y1, 0
-                elif inx and _similar(c[x1], p(y), named[y]) and not c[x].isdigit():
+                elif inx and _similar(c[x1], p[y], named[y]) and not c[x].isdigit():
                     x, clean = x1, 0
-                elif iny and _similar(c[x], p(y1), named[y1]) and not named[y]:
+                elif iny and _similar(c[x], p[y1], named[y1]) and not named[y]:
                     y, clean = y1, 0
                 else:
                     break
