@@ -108,3 +108,42 @@ def test_quick_tests_of_odd_places_agree_with_the_rules():
     for _ in range(30_000):
         text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 9)))
         assert _is_odd(text) == any(_ODD.search(line) for line in text.split("\n")), repr(text)
+
+
+def test_twins_of_crowded_skeletons_teach(spark):
+    crowd = [chr(0xAC00 + 7 * i) + chr(0xB000 + 5 * i) + "다" for i in range(120)]  # all of the empty skeleton, each with more rows than the twins
+    rare = "안녕하세요"
+    rows = [x for x in (*crowd, *(f"{x}\ufffd" for x in crowd)) for _ in range(2)] + [rare, rare.encode().decode("latin-1")]
+    assert learn_chains(spark.createDataFrame([(x,) for x in rows], "text string")) == [("latin-1", "utf-8")]
+
+
+def test_twins_are_those_of_all_pairs(spark):
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from vellumine.llm.encoding import ALL, _misread, _twins
+
+    rng = random.Random(3)
+    words = ["за", "квитанцию", "Größe", "für", "naïve", "—", "«да»", "電気の", "使用量", "缴清报告", "ж", "œuvre", "gęś", "№", "plain", "0", "ñ", "안녕"]
+    segs = set()
+    for _ in range(1000):
+        clean = [rng.choice(words) for _ in range(rng.randint(1, 4))]
+        w, r = rng.choice(ALL)
+        bad = [_misread(x, w, r) or x if rng.random() < 0.7 else x for x in clean]
+        segs |= {" ".join(clean), " ".join(bad)}
+    d = spark.createDataFrame([(x, not set(x.split()) <= set(words)) for x in sorted(segs)], "seg string, bad boolean")
+    d = d.select(F.xxhash64("seg").alias("id"), F.xxhash64(F.regexp_replace("seg", r"[^\x00-\x7f]+", "_")).alias("mark"), "seg", "bad").cache()
+    good, wrong = ([r["seg"] for r in d.where(d["bad"] == b).collect()] for b in (False, True))
+    true = Counter((g, c) for g in wrong for c in good if mappings_of(g, c))
+    got = Counter((r["g"], r["c"]) for r in _twins(d).collect() if mappings_of(r["g"], r["c"]))
+    split = Counter((r["g"], r["c"]) for r in _twins(d, 0).collect() if mappings_of(r["g"], r["c"]))
+    mixed = [(g, c) for g, c in true if set(g.split()) & set(c.split()) - {"plain", "0"}]
+    assert len(true) > 200 and len(mixed) > 50 and got == true == split
+
+
+def test_the_order_of_what_is_learned_does_not_choose_unlikely_readings():
+    first = [("cp1252", "cp874"), ("cp1252", "cp1256"), ("cp1251", "cp866"), ("cp1251", "iso8859-5"), ("cp1252", "big5")]
+    for text, w, r in [("La copropriété du 15 février a été réglée.", "mac_roman", "cp1252"), ("Wie hoch ist die Rechnung für 2026?", "cp1251", "cp1252"), ("| claim form | £400.73 |", "cp1251", "cp1252"), ("ช่างจะมาตรวจจดหมายพรุ่งนี้เช้า", "cp1252", "cp874")]:
+        assert repair(text.encode(r).decode(w), [*first, ("mac_roman", "cp1252"), ("cp1251", "cp1252")]) == (text, True)

@@ -1,10 +1,10 @@
 """Text decoded with the wrong character encoding: find it and turn it back.
 
 Plan: segments are reduced to their ASCII skeleton (numbers and names masked),
-garbled ones are joined with clean near-twins of the same skeleton.  The ASCII
-characters of such a pair are its anchors: they align the stretches between
-them, and the characters of every aligned stretch vote for the (wrong, right)
-codec pairs that map all of them.  The votes are a table of some hundred rows,
+garbled ones are joined with clean near-twins of the same skeleton, by what the
+codec pairs make of the clean ones.  The ASCII characters of such a pair are its
+anchors: they align the stretches between them, and the characters of every
+aligned stretch vote for the (wrong, right) codec pairs that map all of them.  The votes are a table of some hundred rows,
 the mappings learned, which alone are applied to every record in one narrow map.
 What was lost (U+FFFD) comes back only from a twin that leaves no choice.
 """
@@ -15,15 +15,14 @@ import codecs
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from vellumine.runtime import cut, spread
+from vellumine.runtime import broadcast_if_small, cut, spread
 
 # Names of public codecs.
 WRONG_SINGLE = ("cp1252", "latin-1", "cp437", "mac_roman", "cp1251", "cp1250", "cp1253", "cp850", "cp1254", "cp866", "koi8-r", "iso8859-2", "iso8859-7", "iso8859-15", "cp874", "cp1255", "cp1256", "cp1257", "mac_cyrillic", "cp852")
@@ -182,9 +181,9 @@ def _legacy(text: str, rights: list[str]) -> str:
             if script == "cyr":
                 low = sum(1 for x in t if x.islower()) / max(1, sum(1 for x in t if x.isalpha()))
                 points += low + sum(t.lower().count(x) for x in "оеаин") / max(1, len(t))
-            elif script == "kan":
+            elif script == "kan" and r in ("euc_jp", "cp932"):
                 points += 1.5
-            elif script in ("han", "kor"):
+            elif script in ("kan", "han", "kor"):  # stray kana speak for no other codec
                 points += 0.5 - 0.5 * (sum(1 for x in t if not 0x4E00 <= ord(x) <= 0x9FA5 and not x.isascii()) / max(1, len(t)))
             elif script == "tha":
                 points += 0.9
@@ -225,6 +224,10 @@ def _reread(line: str, w: str, r: str) -> str | None:
     return line.translate(table) if all(x.isascii() or ord(x) in table for x in set(line)) else None
 
 
+#: Places that tell readings without odd ones apart: Hebrew, Arabic or Thai or a number sign within a Latin word, Greek or Cyrillic letters before a digit.
+_UNLIKELY = re.compile(r"[A-Za-z](?=[\u0590-\u06ff\u0e00-\u0e7f№])|[\u0590-\u06ff\u0e00-\u0e7f№](?=[A-Za-z])|[Ͱ-ӿ](?=\d)")
+
+
 def _swap(line: str, pairs: list[tuple[str, str]]) -> str:
     """The line under the pair of single-byte codecs that leaves the fewest odd places, if it leaves hardly any."""
     if line.isascii():
@@ -239,7 +242,7 @@ def _swap(line: str, pairs: list[tuple[str, str]]) -> str:
         if t is None:
             continue
         left = len(_ODD.findall(t)) + 0.3 * sum(1 for x in t if not x.isascii() and not (x.isalpha() or x in "«»“”„‘’…–—·°£€§№¿¡\xa0²³½" or x == "\ufffd"))
-        left += 0.001 * rank + 0.05 * sum(1 for x in re.findall(r"\b[^\W\d_]*[^\x00-\x7f][^\W\d_]*", t) if not (x.islower() or x.istitle())) 
+        left += 0.001 * rank + 0.05 * len(_UNLIKELY.findall(t)) + 0.05 * sum(1 for x in re.findall(r"\b[^\W\d_]*[^\x00-\x7f][^\W\d_]*", t) if not (x.islower() or x.istitle())) 
         if left < best and high:
             best, out = left, t
     return out
@@ -394,7 +397,7 @@ def _table(name: str) -> str:
     return "".join(map(chr, range(128))) + "".join(back.get(b, chr(b)) for b in range(128, 256))
 
 
-@cache
+@lru_cache(maxsize=1 << 16)
 def _misread(clean: str, wrong: str, right: str) -> str | None:
     """What characters written in ``right`` look like when read as ``wrong``."""
     try:
@@ -417,21 +420,81 @@ def mappings_of(garbled: str, clean: str) -> list[tuple[str, str]]:
     return left
 
 
-def learn_chains(texts: DataFrame, id_col: str = "id", text_col: str = "text", variants: int = 48, least_chars: int = 3) -> list[tuple[str, str]]:
+_WRONGS = {r: [w for w, r2 in ALL if r2 == r] for _, r in ALL}
+
+
+def _misreads(clean: str) -> set[str]:
+    """All that the pairs of ``ALL`` make of stretches, each on a line of its own; pairs that change nothing, or cannot write them all, give none."""
+    out = set()
+    for right, wrongs in _WRONGS.items():
+        try:
+            raw = clean.encode(right)
+        except UnicodeError:
+            continue
+        for wrong in wrongs:
+            if wrong in WRONG_DOUBLE:  # lost bytes at a stretch's end must not reach the next one
+                out.add("\n".join(x.decode(wrong, "replace") for x in raw.split(b"\n")))
+            else:
+                out.add(codecs.charmap_decode(raw, "strict", _table(wrong))[0])
+    return out - {clean}
+
+
+def _garbled_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each clean segment, the stretches of every twin that a pair has garbled wholly."""
+    for b in batches:
+        out = [(i, m, x) for i, m, t in zip(b["id"], b["mark"], b["t"]) for x in _misreads(t)]
+        yield pd.DataFrame(out, columns=["c", "mark", "t"])
+
+
+def _garbled_beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each stretch that a garbled segment has as well, what it and a garbled neighbour would be there."""
+    for b in batches:
+        out = []
+        for i, m, p, v, before, after in zip(b["id"], b["mark"], b["p"], b["v"], b["before"], b["after"]):
+            out += [(i, m, p - 1, x, v) for x in (_misreads(before) if before else ())]
+            out += [(i, m, p, v, x) for x in (_misreads(after) if after else ())]
+        yield pd.DataFrame(out, columns=["c", "mark", "p", "v", "after"])
+
+
+def _twins(s: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``(g, c)``: the garbled and clean segments of ``s (id, mark, seg, bad)`` that some pair of codecs maps, all of them, and few others.
+
+    A pair of codecs changes all stretches of a twin, or it leaves some as they are. Then one of these stands beside
+    a changed one. Both are looked up by equality, so that a skeleton with many segments costs no more than its rows.
+    """
+    s = s.withColumn("a", F.regexp_extract_all("seg", F.lit(r"([^\x00-\x7f]+)"), 1))
+    bad = s.where("bad")
+    good = s.where("not bad").join(broadcast_if_small(bad.select("mark").distinct(), max_rows), "mark", "left_semi")
+
+    whole = lambda d: d.withColumn("t", F.array_join("a", "\n"))
+    key = F.xxhash64("mark", "t").alias("key")
+    forms = spread(whole(good).select("id", "mark", "t")).mapInPandas(_garbled_forms, "c long, mark long, t string").select("c", key)
+    all_of_it = forms.join(broadcast_if_small(whole(bad).select(F.col("id").alias("g"), key), max_rows), "key")
+
+    parts = lambda d: d.where(F.size("a") > 1).select("id", "mark", "a", F.posexplode("a").alias("p", "v")).select("id", "mark", "p", "v", F.get("a", F.col("p") - 1).alias("before"), F.get("a", F.col("p") + 1).alias("after"))
+    at = F.xxhash64("mark", "p", "v").alias("key")
+    kept = parts(good).withColumn("key", at).join(broadcast_if_small(parts(bad).select(at).distinct(), max_rows), "key", "left_semi").drop("key")
+    two = F.xxhash64("mark", "p", "v", "after").alias("key")
+    beside = kept.mapInPandas(_garbled_beside, "c long, mark long, p int, v string, after string").select("c", two)
+    part_of_it = beside.join(broadcast_if_small(parts(bad).where("after is not null").select(F.col("id").alias("g"), two), max_rows), "key")
+
+    ids = all_of_it.select("g", "c").unionByName(part_of_it.select("g", "c")).distinct()
+    ids = ids.join(bad.select(F.col("id").alias("g"), F.col("seg").alias("garbled")), "g").join(good.select(F.col("id").alias("c"), F.col("seg").alias("clean")), "c")
+    return ids.select(F.col("garbled").alias("g"), F.col("clean").alias("c"))
+
+
+def learn_chains(texts: DataFrame, id_col: str = "id", text_col: str = "text", least_chars: int = 3) -> list[tuple[str, str]]:
     """The (wrong, right) codec pairs that turn clean segments into their garbled near-twins, best supported first.
 
-    Counts and skeletons cover all rows; for the fit, each skeleton lends at most ``variants`` garbled and
-    ``variants`` clean distinct segments (those with the most rows). A pair is learned if the twins it explains
-    show at least ``least_chars`` different characters. The result has at most ``len(ALL)`` pairs.
+    All distinct segments of all rows take part, each garbled one with every clean one that a pair maps to it. A pair
+    is learned if the twins it explains show at least ``least_chars`` different characters. The result has at most
+    ``len(ALL)`` pairs.
     """
     seg = F.explode(F.split(F.col(text_col), r"\n+|(?<=[.!?])\s+"))
     s = spread(texts.select(text_col).where(F.octet_length(text_col) > F.length(text_col))).select(seg.alias("raw")).where(F.col("raw").rlike(r"[^\x00-\x7f]"))
-    s = s.select(_skeleton(F.col("raw")).alias("seg")).groupBy("seg").agg(F.count("*").alias("n"))
-    s = s.select("seg", "n", F.regexp_replace("seg", r"[^\x00-\x7f]+", "").alias("skel"), (F.col("seg").rlike(SUSPECT) | _garbled_han(F.col("seg"))).alias("bad"))
-    w = Window.partitionBy("skel", "bad").orderBy(F.desc("n"), "seg")
-    s = cut(s.withColumn("k", F.row_number().over(w)).where(F.col("k") <= variants))  # both sides of the join read it
-    bad = s.where("bad").select("skel", F.col("seg").alias("g"))
-    good = s.where("not bad").select("skel", F.col("seg").alias("c"))
+    s = s.select(_skeleton(F.col("raw")).alias("seg")).distinct()
+    mark = F.xxhash64(F.regexp_replace("seg", r"[^\x00-\x7f]+", "\u0001"))  # the skeleton, and where other characters stand in it
+    s = cut(s.select(F.xxhash64("seg").alias("id"), mark.alias("mark"), "seg", (F.col("seg").rlike(SUSPECT) | _garbled_han(F.col("seg"))).alias("bad")))  # both sides of the joins read it
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         votes: Counter[tuple[str, str, str]] = Counter()  # of a partition
@@ -441,8 +504,7 @@ def learn_chains(texts: DataFrame, id_col: str = "id", text_col: str = "text", v
                     votes.update((w_, r, x) for x in set(c) if not x.isascii())
         yield pd.DataFrame([(*k, n) for k, n in votes.items()], columns=["w", "r", "c", "n"])
 
-    pairs = bad.join(good, "skel").select("g", "c").repartition(texts.sparkSession.sparkContext.defaultParallelism)
-    votes = pairs.mapInPandas(vote, "w string, r string, c string, n long").groupBy("w", "r").agg(F.sum("n").alias("n"), F.countDistinct("c").alias("chars")).where(F.col("chars") >= least_chars)
+    votes = _twins(s).mapInPandas(vote, "w string, r string, c string, n long").groupBy("w", "r").agg(F.sum("n").alias("n"), F.countDistinct("c").alias("chars")).where(F.col("chars") >= least_chars)
     return [(v["w"], v["r"]) for v in sorted(votes.collect(), key=lambda v: (-v["n"], ALL.index((v["w"], v["r"]))))]
 
 
